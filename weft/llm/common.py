@@ -55,3 +55,21 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, t
 def held_out(id_col):
     """True where crc32 of the id as text is divisible by 5: rows that nothing is learned from."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> tuple[list[str], list[str], float]:
+    """Texts of at most ``limit`` rows of label 1 and of label 0, in a fixed order, and the share of label 1.
+
+    Only ids that are not held out; ids labelled both ways are left out. The ids are drawn from the
+    labels by hash, so at most 2 * limit ids are broadcast and as many texts reach the driver.
+    """
+    seen = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    agreed = seen.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z").select("__id", "y")
+    by = {r["y"]: r["n"] for r in agreed.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    texts: list[list[str]] = []
+    for y in (1, 0):
+        ids = agreed.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").select("__id").limit(limit)
+        few = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "__id")
+        texts.append([r["text"] for r in few.orderBy(F.xxhash64("__id"), "text").limit(limit).collect()])
+    total = sum(by.values())
+    return texts[0], texts[1], by.get(1, 0) / total if total else 0.5

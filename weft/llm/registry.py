@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack
+from .quality import quality_scores
 from .secrets import secret_spans
+from .toxicity import toxicity_scores
 from .url_filter import url_filter
 
 #: The contract's rules: (verdict, host, path).
@@ -18,6 +21,13 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 LISTED_HOSTS = r"(://|\.)(spam-farm|cheap-pills|casino-win|adult-x|free-bets|ads-track)\."
 
 
+def tokenizer_path() -> str:
+    """The packing query's vocabulary file, as installed on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,8 +42,21 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, pages.where(F.col("url").rlike(LISTED_HOSTS)), RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_secrets, op4_url_filter)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secrets, op4_url_filter, op5_toxicity, op7_quality, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
