@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import benchmark_leaks
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .quality import quality_scores
@@ -37,6 +38,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter(pages, pages.where(F.col("url").rlike(LISTED_HOSTS)), RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
@@ -56,7 +61,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_secrets, op4_url_filter, op5_toxicity, op7_quality, op8_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secrets, op3_decontaminate, op4_url_filter, op5_toxicity, op7_quality, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
