@@ -13,6 +13,8 @@ from .exact_dedup import exact_dedup
 from .packing import pack
 from .quality import quality_scores
 from .secrets import secret_spans
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity_scores
 from .url_filter import url_filter
 
@@ -51,6 +53,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,8 +67,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_secrets, op3_decontaminate, op4_url_filter, op5_toxicity, op7_quality, op8_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secrets, op3_decontaminate, op4_url_filter, op5_toxicity, op6_substring_dedup, op7_quality, op8_packing, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
