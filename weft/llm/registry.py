@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import benchmark_leaks
 from .exact_dedup import exact_dedup
+from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import quality_scores
 from .secrets import secret_spans
@@ -72,8 +73,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_secrets, op3_decontaminate, op4_url_filter, op5_toxicity, op6_substring_dedup, op7_quality, op8_packing, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secrets, op3_decontaminate, op4_url_filter, op5_toxicity, op6_substring_dedup, op7_quality, op8_packing, op9_suffix_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
