@@ -73,3 +73,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         texts.append([r["text"] for r in few.orderBy(F.xxhash64("__id"), "text").limit(limit).collect()])
     total = sum(by.values())
     return texts[0], texts[1], by.get(1, 0) / total if total else 0.5
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame, key: str, broadcast_rows: int) -> DataFrame:
+    """The rows of docs whose (id, key) isn't among ``gone`` (columns __gone and key, distinct), null ids included.
+
+    Up to broadcast_rows of those are broadcast, so that no text moves; more meet the rows in a shuffle.
+    """
+    side = gone.withColumnRenamed(key, "__key")
+    side = F.broadcast(side) if side.count() <= broadcast_rows else side
+    return docs.join(side, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col(key) == F.col("__key")), "left_anti")

@@ -185,18 +185,38 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     An index holds at most index_bytes of items; larger sets are dealt over several, each of which all
     documents pass by in turn.
     """
-    items = items.select(F.col(item_col).alias("k"), F.col(item_text).alias("t")).where("t IS NOT NULL AND k IS NOT NULL")
-    held = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    shards = max(1, -(-held // index_bytes))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type, out = dict(docs.dtypes)[id_col], None
-    for i in range(shards):
-        part = [(r["k"], r["t"]) for r in items.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == i).collect()]
-        found = _pass(rows, Index(part, threshold), id_type)
+    for index in _indexes(items, item_col, item_text, threshold, index_bytes):
+        found = _pass(rows, index, id_type)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
 
+def _indexes(items: DataFrame, item_col: str, item_text: str, threshold: float, index_bytes: int) -> Iterator[Index]:
+    """Indexes of at most about index_bytes of items each, at least one."""
+    items = items.select(F.col(item_col).alias("k"), F.col(item_text).alias("t")).where("t IS NOT NULL AND k IS NOT NULL")
+    held = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    shards = max(1, -(-held // index_bytes))
+    for i in range(shards):
+        yield Index([(r["k"], r["t"]) for r in items.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == i).collect()], threshold)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The input rows in which no test item is found, with all their columns, judged as by benchmark_leaks()."""
+    at = docs.columns.index(text_col)
+    for index in _indexes(items, item_col, item_text, threshold, index_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for b in batches_of(batches, at):
+                keep = np.ones(b.num_rows, bool)
+                keep[[g[0] for g in leaks(b.column(at), index)]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def _pass(rows: DataFrame, index: Index, id_type: str) -> DataFrame:
     names = ["item_id", "score", "question", "answer", "whole", "first_word"]
 

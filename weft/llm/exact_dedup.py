@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, skew_join, stored
+from .common import SPACES, skew_join, stored, without
 
 #: A bucket with more keys than this is split in two.
 CAPACITY = 65_536
@@ -116,3 +116,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col("keep_rid") == F.col("rid"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def exact_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, **options) -> DataFrame:
+    """The input rows that exact_dedup() keeps, with all their columns; of repeated rows one."""
+    judged = stored(exact_dedup(docs, id_col, text_col, broadcast_keys=broadcast_keys, **options).where("NOT kept"), "exact-dropped")
+    same = F.col(id_col).eqNullSafe(F.col("keep_id"))
+    gone = judged.where(~same).select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
+    out = without(docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)), id_col, gone, "__sha", broadcast_keys)
+    if judged.where(same).limit(1).count():  # the dropped row repeats the kept one
+        out = out.dropDuplicates([id_col, "__sha"])
+    return out.drop("__sha")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_join, stored
+from .common import skew_join, stored, without
 from .components import components
 from .exchange import dumps, loads
 from .hashing import U64, batches_of, mix, rolling, row_words, texts_of
@@ -153,8 +153,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands[k] = row
         keys = [set_key(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-            ["id", "n", "c1", "c2", "bands"],
+            [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            ["id", "text_key", "n", "c1", "c2", "bands"],
         )
 
 
@@ -226,7 +226,7 @@ def _block_pair(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """One row per input row: id, class_id (least id of its class), n_links (other rows with similarity 0.8 or more), n_shingles.
+    """One row per input row: id, class_id (least id of its class), n_links (other rows with similarity 0.8 or more), n_shingles, text_key (xxhash64 of the text).
 
     Similarity is Jaccard over the sets of word 5-grams, words being runs without U+0020 and U+0009 to
     U+000D; a class is what links connect. A text of one to four words has one shingle; an empty or null
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(docs.dtypes)[id_col]
-    told = stored(rows.mapInArrow(_described, f"id {id_type}, n long, c1 long, c2 long, bands array<long>"), "near-rows")
+    told = stored(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_described, f"id {id_type}, text_key long, n long, c1 long, c2 long, bands array<long>"), "near-rows")
     full = told.where("n > 0")
     key = ["n", "c1", "c2"]
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
@@ -281,6 +281,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"))).alias("least"), F.count("*").alias("weight"))
     named = skew_join(named, least.select("label", F.col("least.id").alias("class_id"), "weight"), ["label"], "weight", max(1, n_nodes))
     named = stored(named.select(*key, "class_id", (F.coalesce("degree", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("size").alias("weight")), "near-classes")
-    out = skew_join(full.drop("bands"), named, key, "weight", max(1, full.count())).select("id", "class_id", "n_links", "n")
-    out = out.unionByName(told.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n"))
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    out = skew_join(full.drop("bands"), named, key, "weight", max(1, full.count())).select("id", "class_id", "n_links", "n", "text_key")
+    out = out.unionByName(told.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n", "text_key"))
+    return out.select(F.col("id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n").alias("n_shingles"), "text_key")
+
+
+def near_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
+    """The input rows that are their class's first by near_duplicates(), with all their columns."""
+    judged = near_duplicates(docs, id_col, text_col, broadcast_ids=broadcast_ids, **options)
+    gone = judged.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone"), F.col("text_key").alias("__text")).distinct()
+    out = without(docs.withColumn("__text", F.xxhash64(text_col)), id_col, stored(gone, "near-dropped"), "__text", broadcast_ids)
+    return out.drop("__text")

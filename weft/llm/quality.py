@@ -115,3 +115,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(score, f"id {dict(docs.dtypes)[id_col]}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= keep).cast("int").alias("predicted"))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+    """The input rows whose quality score reaches ``keep``, with all their columns, judged as by quality_scores()."""
+    good, bad, share = training_sample(docs, labels, id_col, text_col, label_col, sample)
+    model, at = fit(good, bad, share), docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([s >= keep for s in scores(b.column(at).to_pylist(), model)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
