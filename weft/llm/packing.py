@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,48 +17,67 @@ END_ID = 1
 #: Tokens that are gathered before they are packed, which bounds a task's memory; what is left over stays for the next round.
 POOL_TOKENS, POOL_ITEMS = 1 << 20, 4096
 #: Words that a worker keeps the ids of; then it starts afresh.
-CACHE_WORDS = 250_000
-#: Bytes of text split at a time.
-SLICE = 1 << 19
+CACHE_WORDS = 500_000
+#: Characters of text split at a time.
+SLICE = 1 << 18
+
+
+#: In texts of these characters alone the tokenizer's words are runs of letters, runs of signs and single digits, each by itself.
+_PLAIN = re.compile(r"[\x09-\x0d\x20-&(-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_RUNS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 
 
 class Words:
-    """Ids of texts by their words: no token of this kind of tokenizer spans ASCII white space, so each word is encoded once."""
+    """Ids of texts by their words, each of which is encoded once.
+
+    No token spans ASCII white space, so a text's ids are those of its words. Plain texts are taken
+    apart further, which leaves fewer words: letter runs in lower case without the signs around them.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.encoder = Tokenizer.from_file(path)
+        self.encoder, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[str, int] = {}
         self.flat, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 256):
-            some = words[at : at + 256]
-            texts = [w.decode("utf-8", "replace") for w in some]
-            begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
-            got = self.encoder.encode_batch([" ".join(texts)], add_special_tokens=False)[0]
-            ids = np.array(got.ids, np.uint32)
-            owner = np.searchsorted(begin, [a for a, _ in got.offsets], side="right") - 1
-            first, n = len(self.index), self.used + len(ids)
-            while n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(some) > len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used : n] = ids
-            self.start[first : first + len(some)] = self.used + np.searchsorted(owner, np.arange(len(some)))
-            self.size[first : first + len(some)] = np.bincount(owner, minlength=len(some))
-            self.used = n
-            for i, w in enumerate(some):
-                self.index[w] = first + i
-
-    def ids(self, text: bytes) -> np.ndarray:
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if _LETTERS.fullmatch(w)]
+        for at in range(0, len(plain), 256):
+            some = plain[at : at + 256]
+            got = self.bare.encode_batch([" ".join(some)], add_special_tokens=False)[0]
+            self._keep(some, got.ids, np.array(got.word_ids, np.int64))
+        odd = [w for w in words if not _LETTERS.fullmatch(w)]
+        for at in range(0, len(odd), 256):
+            some = odd[at : at + 256]
+            got = self.encoder.encode_batch([" ".join(some)], add_special_tokens=False)[0]
+            begin = np.cumsum([0, *[len(w) + 1 for w in some]])
+            self._keep(some, got.ids, np.searchsorted(begin, [a for a, _ in got.offsets], side="right") - 1)
+
+    def _keep(self, some: list[str], ids: list[int], owner: np.ndarray) -> None:
+        first, n = len(self.index), self.used + len(ids)
+        while n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(some) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : n] = ids
+        size = np.bincount(owner, minlength=len(some))
+        self.start[first : first + len(some)] = self.used + np.cumsum(size) - size
+        self.size[first : first + len(some)] = size
+        self.used = n
+        self.index.update(zip(some, range(first, first + len(some)), strict=True))
+
+    def ids(self, text: str) -> np.ndarray:
         out = []
         for piece in _slices(text):
-            words = piece.split()
+            # special tokens' strings are looked for before anything else, so they are left whole
+            words = _RUNS.findall(piece.lower()) if "<|" not in piece and _PLAIN.fullmatch(piece) else _SPACES.split(piece)
             if len(self.index) > CACHE_WORDS:
                 self.reset()
             found = list(map(self.index.get, words))
@@ -65,19 +85,22 @@ class Words:
                 self.learn(list(dict.fromkeys(w for w, i in zip(words, found, strict=True) if i is None)))
                 found = list(map(self.index.__getitem__, words))
             at = np.array(found, np.int64)
-            size = self.size[at] if len(at) else at
+            size = self.size[at]
             heads = np.cumsum(size) - size
-            out.append(self.flat[np.repeat(self.start[at] - heads, size) + np.arange(size.sum())] if len(at) else np.zeros(0, np.uint32))
+            out.append(self.flat[np.repeat(self.start[at] - heads, size) + np.arange(size.sum())])
         return np.concatenate(out)
 
 
-def _slices(text: bytes) -> list[bytes]:
-    """The text in slices of about SLICE bytes that end at white space."""
+_SPACES = re.compile(r"[\x09-\x0d\x20]+")
+
+
+def _slices(text: str) -> list[str]:
+    """The text in slices of about SLICE characters that end at white space."""
     out = []
     while len(text) > SLICE:
-        cut = max(text.rfind(c, 0, SLICE) for c in (b" ", b"\n")) + 1
+        cut = max(text.rfind(c, 0, SLICE) for c in " \n") + 1
         if not cut:
-            ends = [p for c in (b" ", b"\n") if (p := text.find(c, SLICE)) >= 0]
+            ends = [p for c in " \n" if (p := text.find(c, SLICE)) >= 0]
             cut = min(ends) + 1 if ends else len(text)
         out.append(text[:cut])
         text = text[cut:]
@@ -87,8 +110,8 @@ def _slices(text: bytes) -> list[bytes]:
 _workers: dict[str, Words] = {}
 
 
-def word_encoder(path: str) -> Callable[[bytes], np.ndarray]:
-    """Text in UTF-8 to ids, with a cache of words that the worker keeps."""
+def word_encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Text to ids, with a cache of words that the worker keeps."""
     if path not in _workers:
         _workers[path] = Words(path)
     return _workers[path].ids
@@ -233,10 +256,10 @@ def pack(
         kind, waiting, tokens = pa.int64(), [], 0
         for b in batches:
             kind = b.schema.field(0).type
-            keys, texts, prompts = b.column(0).to_pylist(), b.column(1), b.column(2)
+            keys, texts, prompts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             for key, text, prompt in zip(keys, texts, prompts, strict=True):
-                lead = encode(prompt.as_buffer().to_pybytes()) if prompt.is_valid else np.zeros(0, np.uint32)
-                body = encode(text.as_buffer().to_pybytes()) if text.is_valid else lead[:0]
+                lead = encode(prompt) if prompt else np.zeros(0, np.uint32)
+                body = encode(text) if text else lead[:0]
                 ids = np.concatenate([lead, body, np.array([end_id], np.uint32)]).astype("<u4")
                 held[n] = (key, ids, [len(ids)])
                 waiting.append((n, len(ids), len(lead)))
