@@ -35,7 +35,7 @@ def test_quality_learns_and_is_calibrated():
 def test_toxicity_catches_unseen_misspellings():
     rude = ["worthlesss", "patheticc", "moronic", "idiotic"]
     insert = lambda words: lambda r, w: r.choice(words) if r.random() < 0.08 else w
-    model = toxicity.fit(_texts(150, insert(["worthless", "pathetic", "moron", "idiot"]), 3), _texts(150, plain, 4), 0.5)
+    model = toxicity.fit(_texts(500, insert(["worthless", "pathetic", "moron", "idiot"]), 3), _texts(500, plain, 4), 0.5)
     seen = toxicity.scores(pa.array([t for t in _texts(60, insert(rude), 5) if any(w in t for w in rude)]), model)
     clean = toxicity.scores(pa.array([*_texts(60, plain, 6), "", None]), model)
     assert np.mean(seen >= 0.5) > 0.9 and np.mean(clean < 0.5) > 0.9

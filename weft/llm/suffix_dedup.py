@@ -11,6 +11,8 @@ from .hashing import _BYTE, SLICE, U64, mix, powers, slices, texts_of
 
 #: Bytes of a string that counts as a repeat, and of the anchor that each such string holds.
 LENGTH, ANCHOR = 200, 64
+#: Bytes whose suffixes are sorted at a time, unless one anchor alone has more.
+SORTED = 1 << 19
 
 
 def suffix_order(data: np.ndarray, left: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -19,28 +21,25 @@ def suffix_order(data: np.ndarray, left: np.ndarray, group: np.ndarray, length:
     Prefix doubling: ranks by 8 bytes, then by twice as many, until the last step overlaps.
     """
     m = len(data)
-    wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(U64)
-    word = np.zeros(m, U64)
-    for k in range(8):
-        word = word << U64(8) | wide[k : k + m]
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
     h = min(8, length)
-    if h < 8:
-        word >>= U64(64 - 8 * h)
-    at = np.flatnonzero(left >= h)
-    order = np.lexsort((word[at], group[at]))
-    a = at[order]
-    new = np.concatenate([[True], (np.diff(word[a]) != 0) | (np.diff(group[a]) != 0)])[: len(a)]
-    rank = np.zeros(m, np.int64)
+    at = np.flatnonzero(left >= h).astype(np.int32)
+    word = np.zeros(len(at), U64)
+    for k in range(h):
+        word = word << U64(8) | wide[at + k]
+    order = np.lexsort((word, group[at]))
+    a, word = at[order], word[order]
+    new = np.concatenate([[True], (np.diff(word) != 0) | (np.diff(group[a]) != 0)])[: len(a)]
+    rank = np.zeros(m, np.uint32)
     rank[a] = np.cumsum(new)
     while h < length:
         step = min(h, length - h)
-        at = np.flatnonzero(left >= h + step)
-        key = rank[at] * (m + 1) + rank[at + step]
-        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(left >= h + step).astype(np.int32)
+        key = rank[at].astype(U64) << U64(32) | rank[at + step]
+        order = np.argsort(key)
         a, key = at[order], key[order]
         new = np.concatenate([[True], np.diff(key) != 0])[: len(a)]
-        rank = np.zeros(m, np.int64)
-        rank[a] = np.cumsum(new)
+        rank[a] = np.cumsum(new)  # ranks of shorter rests are not looked at again
         h += step
     return a, new
 
@@ -179,15 +178,27 @@ def _second_answers(length: int, anchor: int):
         src = np.repeat(np.arange(len(blobs)), [len(b[0]) for b in blobs])
         a, lo, size = (np.concatenate([b[k] for b in blobs]) for k in range(3))
         data = np.concatenate([b[3] for b in blobs])
-        row = np.repeat(np.arange(len(a)), size)
+        del blobs
         begin = np.cumsum(size) - size
-        inner = np.arange(len(data)) - begin[row]
-        order, new = suffix_order(data, size[row] - inner, np.unique(a, return_inverse=True)[1][row], length)
-        hit = order[other_matches(order, new, (src[row] << 40) + lo[row] + inner)]
         mask = np.zeros((len(a), length - anchor + 1), np.uint8)
-        mask[row[hit], inner[hit]] = 1
+        by_anchor = np.argsort(a, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(a[by_anchor], prepend=~a[by_anchor[:1]])), len(a))
+        group = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
+        total = np.concatenate([[0], np.cumsum(size[by_anchor])])[edges]
+        i = 0
+        while i < len(edges) - 1:  # whole groups of an anchor, about SORTED bytes at a time
+            j = max(i + 1, int(np.searchsorted(total, total[i] + SORTED, side="right")) - 1)
+            some = by_anchor[edges[i] : edges[j]]
+            some, own = some[size[some] >= length], group[edges[i] : edges[j]][size[some] >= length]
+            n = size[some]
+            row = np.repeat(np.arange(len(some), dtype=np.int32), n)
+            inner = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            order, new = suffix_order(data[np.repeat(begin[some], n) + inner], (n[row] - inner).astype(np.int32), own[row], length)
+            hit = order[other_matches(order, new, (src[some][row] << 40) + lo[some][row] + inner)]
+            mask[some[row[hit]], inner[hit]] = 1
+            i = j
         chunks, found = table["chunk"].to_pylist(), []
-        for i in range(len(blobs)):
+        for i in range(len(chunks)):
             own = mask[src == i]
             if own.any():
                 found.append((chunks[i], dumps(np.packbits(own.ravel()))))
