@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, training_sample
+from .hashing import batches_of, words
 from .quality import calibrate
 
 #: At most so many labelled rows of each class are learned from (four fifths for the model, a fifth for the calibration).
@@ -27,6 +28,7 @@ for _c in [*range(48, 58), *range(97, 123), *range(128, 256), *b"!@$*"]:
     _FOLD[_c] = _c
 for _c in range(65, 91):
     _FOLD[_c] = _c + 32
+_GAP = np.arange(256) == 32
 
 
 def _pieces(data: bytes) -> list[bytes]:
@@ -45,8 +47,14 @@ class Bags:
         joined = _FOLD[np.frombuffer(b" " + b"  ".join(texts) + b"      ", np.uint8)]
         ends = np.cumsum([len(t) + 2 for t in texts]) if texts else np.zeros(0, np.int64)
         letter = joined != 32
-        first = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1  # where words begin
+        first, end, word = words(joined, _GAP)
         text = np.searchsorted(ends, first, side="right")
+        again = np.concatenate([[False], (word[1:] == word[:-1]) & (text[1:] == text[:-1])])[: len(word)]
+        once = np.zeros(len(joined) + 1, np.int8)  # a word said over and over counts once
+        once[first[again]] += 1
+        once[end[again]] -= 1
+        once = np.cumsum(once[:-1], dtype=np.int8) == 0
+        first, text = first[~again], text[~again]
         count = np.bincount(text, minlength=len(texts)) if len(first) else np.zeros(len(texts), np.int64)
         begin = np.cumsum(count) - count
         nth = np.arange(len(first)) - begin[text] if len(first) else first
@@ -62,7 +70,7 @@ class Bags:
                 inner = letter[1:-1] if inner is None else inner[:-1] & letter[n - 2 : -1]
             if n in NGRAMS:
                 bucket = ((h ^ np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
-                self.grams.append((bucket, inner))
+                self.grams.append((bucket, inner & once[1 : len(inner) + 1]))
         self.size = len(joined)
 
     def means(self, value: np.ndarray) -> np.ndarray:
@@ -225,7 +233,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = fit(toxic, clean, share)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores(b.column(2), model), pa.float64())], ["id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
