@@ -14,7 +14,7 @@ from .hashing import batches_of, words
 from .quality import calibrate
 
 #: At most so many labelled rows of each class are learned from (four fifths for the model, a fifth for the calibration).
-SAMPLE = 1000
+SAMPLE = 1500
 NGRAMS = (3, 4, 5)
 BUCKET_BITS, DIM = 16, 8
 #: Words in a segment: a bag is averaged over so many, so a few words are not lost in a long text.
