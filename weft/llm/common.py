@@ -26,14 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete what stored() has written, once no result that reads it is needed any more; how many folders."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
     """Left join to a side that is unique by keys, safe when one key holds a third of the rows.
 
