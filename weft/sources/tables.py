@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.operators.matrix import SparseMatrix
@@ -38,7 +38,7 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li, s, n = t("customer"), t("orders"), t("lineitem"), t("supplier"), t("nation")
     order = F.lit(b["order"])
     segments = c.select("c_mktsegment").distinct()  # a handful
-    rank = segments.alias("x").join(segments.alias("y"), F.col("y.c_mktsegment") <= F.col("x.c_mktsegment")).groupBy(F.col("x.c_mktsegment").alias("c_mktsegment")).agg(F.count("*").alias("r"))
+    rank = segments.select("c_mktsegment", F.dense_rank().over(Window.orderBy("c_mktsegment")).alias("r"))
     status = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 3).otherwise(4)
     parts = [
         edge(c, F.col("c_custkey") + b["customer"], F.col("c_nationkey") + b["nation"], 3),
