@@ -22,6 +22,8 @@ BANDS, ROWS = 20, 5
 STEP, TOLERANCE = 10, 1e-6
 #: Texts of a candidate group that one task compares with as many others.
 BLOCK = 256
+#: Texts, about, whose small candidate groups one call takes.
+LOT = 250
 #: Up to so many ids of texts in candidate groups are broadcast to find their texts again; beyond, they shuffle.
 BROADCAST_IDS = 200_000
 
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = F.broadcast(ids) if n_ids <= broadcast_ids else ids
     again = rows.join(side.withColumnRenamed("id", "want"), F.col("id").eqNullSafe(F.col("want")), "left_semi")
     sets = again.mapInArrow(_sets, "n long, c1 long, c2 long, members binary").join(placed.drop("first_id"), key)
-    lots = max(1, -(-n_ids // 2000))
+    lots = max(1, -(-n_ids // LOT))
     small = sets.where("blocks = 1").withColumn("lot", F.pmod(F.xxhash64("comp"), F.lit(lots))).groupBy("lot").applyInArrow(_whole_groups, _OUT)
     large = sets.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blobs = large.groupBy("comp", "block").applyInArrow(_as_block, "comp long, block int, blocks int, blob binary")
