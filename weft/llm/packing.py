@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import release
+
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 64, 2048
 END_ID = 1
 #: Tokens that are gathered before they are packed, which bounds a task's memory; what is left over stays for the next round.
 POOL_TOKENS, POOL_ITEMS = 1 << 20, 4096
-#: Words that a worker keeps the ids of; then it starts afresh.
-CACHE_WORDS = 500_000
+#: Words that a worker keeps the ids of, then it starts afresh; and from one task to the next, the first of them.
+CACHE_WORDS, KEPT_WORDS = 500_000, 100_000
 #: Characters of text split at a time.
 SLICE = 1 << 18
 
@@ -47,6 +50,14 @@ class Words:
         self.index: dict[str, int] = {}
         self.flat, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
+    def shrink(self) -> None:
+        """Let go of all but the first words, which are the frequent ones."""
+        if len(self.index) > KEPT_WORDS:
+            self.index = dict(islice(self.index.items(), KEPT_WORDS))
+            self.start, self.size = self.start[:KEPT_WORDS].copy(), self.size[:KEPT_WORDS].copy()
+            self.used = int(self.start[-1] + self.size[-1])
+            self.flat = self.flat[: self.used].copy()
+
     def learn(self, words: list[str]) -> None:
         plain = [w for w in words if _LETTERS.fullmatch(w)]
         for at in range(0, len(plain), 256):
@@ -82,8 +93,10 @@ class Words:
                 self.reset()
             found = list(map(self.index.get, words))
             if None in found:
-                self.learn(list(dict.fromkeys(w for w, i in zip(words, found, strict=True) if i is None)))
-                found = list(map(self.index.__getitem__, words))
+                missing = [k for k, i in enumerate(found) if i is None]
+                self.learn(list(dict.fromkeys(words[k] for k in missing)))
+                for k in missing:
+                    found[k] = self.index[words[k]]
             at = np.array(found, np.int64)
             size = self.size[at]
             heads = np.cumsum(size) - size
@@ -117,6 +130,13 @@ def word_encoder(path: str) -> Callable[[str], np.ndarray]:
     return _workers[path].ids
 
 
+def shrink_cache(path: str) -> None:
+    """Let go of most of the worker's cache of words."""
+    if path in _workers:
+        _workers[path].shrink()
+    release()
+
+
 class Packer:
     """Fills sequences from pieces. ``add`` gives the pieces of those that are full, ``close`` of the rest.
 
@@ -269,6 +289,7 @@ def pack(
                     waiting, tokens = [], 0
         yield from rows(packer.add(waiting))
         yield from rows(packer.close())
+        shrink_cache(tokenizer)
 
     prompt = F.col(prompt_col).cast("string") if prompt_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), prompt.alias("prompt"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, training_sample
+from .hashing import batches_of
 
 #: At most so many labelled rows of each class are learned from (half for the dictionaries, half for the calibration).
 SAMPLE = 1500
@@ -109,7 +110,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = fit(good, bad, share)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores(b.column(2).to_pylist(), model), pa.float64())], ["id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
@@ -123,7 +124,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model, at = fit(good, bad, share), docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches, at):
             yield b.filter(pa.array([s >= keep for s in scores(b.column(at).to_pylist(), model)], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
