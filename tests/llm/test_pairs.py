@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from weft.llm import ngram_join as near
 from weft.llm.components import components
 from weft.llm.exact_dedup import directory, exact_dedup, exact_filter
@@ -97,6 +99,22 @@ def test_near_duplicates_on_messy_rows(messy):
     assert near_duplicates(messy.limit(0)).count() == 0
 
 
+def test_links_need_no_common_band():
+    sets = [np.sort(np.random.default_rng(k).integers(0, 2**63, 60).astype(np.uint64)) for k in range(2)]
+    sig = near.signatures(sets)
+    other = sig.copy()
+    other[:, :: near.ROWS] ^= 1  # four of five values agree in every band
+    assert not (near.band_keys(sig) == near.band_keys(other)).any()
+    i, j = near.links(sets, sets, sig, other, False)
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 0), (1, 1)]
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    words = np.random.default_rng(5).integers(0, 2**63, (20_000, 10)).astype(np.uint64)
+    a, b = (near.band_keys(near.signatures(list(np.sort(words[:, k : k + 9], 1)))) for k in range(2))  # 8 of 10 in common
+    assert (a == b).any(1).all()
+
+
 def test_posterior_bound():
     least = least_matches(0.8, 1e-6)
     assert sorted(least) == list(range(near.STEP, near.HASHES + 1, near.STEP))

@@ -16,9 +16,9 @@ from .exchange import dumps, loads
 from .hashing import U64, batches_of, mix, rolling, row_words, texts_of
 
 NGRAM, THRESHOLD = 5, (4, 5)  # words of a shingle; the least Jaccard similarity as a fraction
-#: MinHash values, and of these in a band: two texts at the threshold share none of 20 bands of 5 with probability 0.0004.
-BANDS, ROWS = 20, 5
-#: Values compared before each look at the posterior, and the probability of a link below which a pair is dropped.
+#: Bands of MinHash values, and values of a band: two texts at the threshold share none of 36 bands of 5 with probability 6.2e-7.
+BANDS, ROWS = 36, 5
+#: Values compared before each look at the posterior, and the probability with which a link may be lost.
 STEP, TOLERANCE = 10, 1e-6
 #: Texts of a candidate group that one task compares with as many others.
 BLOCK = 256
@@ -92,22 +92,21 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> dict[int, i
     return out
 
 
-_LEAST = least_matches(THRESHOLD[0] / THRESHOLD[1])
+#: A look drops a pair below a fiftieth of the tolerance: all looks together then lose a pair at the threshold with probability 2.8e-7.
+_LEAST = least_matches(THRESHOLD[0] / THRESHOLD[1], TOLERANCE / 50)
 
 
 def links(left: list[np.ndarray], right: list[np.ndarray], sig_l: np.ndarray, sig_r: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of sets with Jaccard similarity of the threshold or more; ``same``: of one list, i < j."""
+    """Pairs (i, j) of sets with Jaccard similarity of the threshold or more; ``same``: of one list, i < j.
+
+    Every pair whose sizes allow it is looked at, whether or not it shares a band.
+    """
     top, low = THRESHOLD
-    keys_l, keys_r = band_keys(sig_l), band_keys(sig_r)
-    near = np.zeros((len(left), len(right)), bool)
-    for k in range(BANDS):
-        near |= keys_l[:, k, None] == keys_r[None, :, k]
+    size_l, size_r = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    near = np.minimum(size_l[:, None], size_r) * low >= np.maximum(size_l[:, None], size_r) * top
     if same:
         near = np.triu(near, 1)
     i, j = np.nonzero(near)
-    size_l, size_r = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    ok = np.minimum(size_l[i], size_r[j]) * low >= np.maximum(size_l[i], size_r[j]) * top
-    i, j = i[ok], j[ok]
     match = np.zeros(len(i), np.int64)
     for n in range(STEP, HASHES + 1, STEP):
         match += (sig_l[i, n - STEP : n] == sig_r[j, n - STEP : n]).sum(1)
@@ -239,8 +238,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Nodes that share a band of MinHash values are joined to the bucket's first node; what that
        connects is a candidate group. No pairs are listed.
     3. A group's texts are read again and compared in one task, or if they are many in blocks, each with
-       each: pairs that share a band have their MinHash values compared step by step, and are dropped once
-       the posterior probability of a link is below TOLERANCE; the others' shingles are counted exactly.
+       each: all pairs of sizes that allow a link have their MinHash values compared step by step, and are dropped once
+       the posterior probability of a link is below a share of TOLERANCE; the others' shingles are counted exactly.
        A task gives each node's links and a forest, never the pairs.
     4. The forests' components are the classes.
     """
