@@ -115,6 +115,17 @@ def test_leaks_on_messy_rows(spark, messy):
     assert leak.benchmark_leaks(messy.limit(0), items).count() == 0 and leak.benchmark_leaks(messy, items.limit(0)).count() == 0
 
 
+def test_leaks_do_not_depend_on_the_number_of_indexes(spark):
+    texts = _texts(40, plain, 3)
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    parts = [(100 * k + c, " ".join(w[: len(w) * c // 100])) for k, w in enumerate(t.split() for t in texts) for c in (60, 75, 90)]
+    docs = spark.createDataFrame(parts, "doc_id long, text string")
+    found = lambda size: {(r.doc_id, r.item_id): r.score for r in leak.benchmark_leaks(docs, items, index_bytes=size).collect()}
+    one, many = found(1 << 20), found(3000)
+    assert one.keys() == many.keys() and len(one) >= 40
+    assert all(abs(s - many[k]) < 1e-9 for k, s in one.items())
+
+
 def test_words_encode_as_the_tokenizer_does():
     rnd = random.Random(10)
     words = packing.Words(tokenizer_path())

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,36 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(rolling(h, n))
 
 
+class Totals(NamedTuple):
+    """What BM25 and the passages need to know of all items, whichever index they are in."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    n: int
+    mean: float
+    longest: int
+
+
+def totals(shards: Iterable[list[tuple[int, str]]]) -> Totals:
+    """Of all items of some shards, one shard at a time: 16 bytes for each distinct term are held."""
+    terms, df, lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    for items in shards:
+        whole = [h for h in _hashes([t for _, t in items if t and t.strip()]) if len(h)]
+        lengths += map(len, whole)
+        own, count = np.unique(np.concatenate([np.unique(h) for h in whole]) if whole else terms[:0], return_counts=True)
+        terms, at = np.unique(np.concatenate([terms, own]), return_inverse=True)
+        df = np.bincount(at, np.concatenate([df, count]), len(terms)).astype(np.int64)
+    return Totals(terms, df, len(lengths), sum(lengths) / len(lengths) if lengths else 1.0, max([32, *lengths]))
+
+
 class Index:
-    """The items' postings: impacts as shares of each item's own BM25 score, with maxima by term and by block of items."""
+    """The items' postings: impacts as shares of each item's own BM25 score, with maxima by term and by block of items.
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    ``known``: the totals of all items, if these are but a shard of them.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, known: Totals | None = None):
+        known = known or totals([items])
         items = sorted(((k, t) for k, t in items if t and t.strip()), key=lambda x: len(x[1]))
         whole = _hashes([t for _, t in items])
         some = [i for i, h in enumerate(whole) if len(h)]
@@ -57,7 +84,7 @@ class Index:
         halves = [split_item(items[i][1]) for i in some]
         question, answer = _hashes([q for q, _ in halves]), _hashes([a for _, a in halves])
         self.parts = [[(n, grams(h, n)) if (n := min(NGRAM, len(h))) else (1, np.zeros(0, np.uint64)) for h in x] for x in zip(question, answer, whole, strict=True)]
-        self.hop = max([32, *map(len, whole)])
+        self.hop = known.longest
         self.threshold = threshold
         n = len(whole)
         owner = np.repeat(np.arange(n), [len(h) for h in whole])
@@ -67,8 +94,9 @@ class Index:
         term, item = key // max(n, 1), key % max(n, 1)
         df = np.bincount(term, minlength=len(self.terms))
         length = np.array([len(h) for h in whole], float)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / (length.mean() if n else 1)))
+        df_all = known.df[np.searchsorted(known.terms, self.terms)]
+        idf = np.log(1 + (known.n - df_all + 0.5) / (df_all + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / known.mean))
         impact /= np.bincount(item, impact, n)[item] if n else 1
         self.item, self.impact = item, impact
         self.blocks = -(-n // BLOCK)
@@ -183,7 +211,8 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     repeated results; other columns are not looked at.
 
     An index holds at most index_bytes of items; larger sets are dealt over several, each of which all
-    documents pass by in turn.
+    documents pass by in turn. Document frequencies, the number of items, their mean length and the
+    passages' length are those of all items, so what is found doesn't depend on the number of indexes.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type, out = dict(docs.dtypes)[id_col], None
@@ -194,12 +223,17 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def _indexes(items: DataFrame, item_col: str, item_text: str, threshold: float, index_bytes: int) -> Iterator[Index]:
-    """Indexes of at most about index_bytes of items each, at least one."""
+    """Indexes of at most about index_bytes of items each, at least one; several share the totals of all items, which are read twice then."""
     items = items.select(F.col(item_col).alias("k"), F.col(item_text).alias("t")).where("t IS NOT NULL AND k IS NOT NULL")
     held = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     shards = max(1, -(-held // index_bytes))
+
+    def shard(i: int) -> list[tuple[int, str]]:
+        return [(r["k"], r["t"]) for r in items.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == i).collect()]
+
+    known = totals(map(shard, range(shards))) if shards > 1 else None
     for i in range(shards):
-        yield Index([(r["k"], r["t"]) for r in items.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == i).collect()], threshold)
+        yield Index(shard(i), threshold, known)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
