@@ -47,8 +47,9 @@ def suffix_order(data: np.ndarray, left: np.ndarray, group: np.ndarray, length:
 def other_matches(order: np.ndarray, new: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Which suffixes of the order share their run with one at another place.
 
-    Within a run of common prefixes the previous and next smaller places, here running minima from
-    either side, give a later suffix its earlier match; the match itself is marked by the same pair.
+    No longest-previous-factor array is computed, and no previous or next smaller places: each run's least
+    and greatest place replace them. A suffix's longest previous factor reaches the run's length just where
+    its run has a smaller place, and it is one for a later suffix just where its run has a greater place.
     """
     if not len(order):
         return np.zeros(0, bool)
