@@ -6,11 +6,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from weft.llm.exchange import Deal, dumps
+from weft.llm.hashing import U64, word_hashes
 from weft.llm.secrets import secret_spans
-from weft.llm.substring_dedup import substring_dedup
-from weft.llm.suffix_dedup import suffix_dedup, suffix_order
+from weft.llm.substring_dedup import Anchors, substring_dedup
+from weft.llm.suffix_dedup import FAMILIES, Chunk, Surroundings, previous_factors, suffix_dedup, suffix_order
 from weft.llm.url_filter import canonical, host_of, path_of, url_filter
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -30,9 +34,14 @@ def _corpus(seed=3):
     return [*rows, (60, "ab " * 90), (61, "x" * 450), (62, None), (63, ""), (64, rows[5][1]), (65, "z" * 199), (66, "q" * 200)]
 
 
-def test_substring_dedup_against_brute_force(spark):
+#: Parts asked in one step, and in two with batches of three chunks.
+DEALS = [{"chunk_bytes": 4000}, {"chunk_bytes": 700, "fan": 2, "batch": 3}]
+
+
+@pytest.mark.parametrize("options", DEALS)
+def test_substring_dedup_against_brute_force(spark, options):
     rows = _corpus()
-    got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=4000).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
     seen = set()
     for i, x in sorted(rows):
         w = [y for y in SPACE.split(x or "") if y]
@@ -53,9 +62,10 @@ def test_substring_dedup_on_messy_rows(messy):
     assert substring_dedup(messy.limit(0)).count() == 0
 
 
-def test_suffix_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("options", [*DEALS, {"chunk_bytes": 4000, "hot": 0}])
+def test_suffix_dedup_against_brute_force(spark, options):
     rows = _corpus(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=4000).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
     data = [(i, (x or "").encode()) for i, x in rows]
     count = Counter(b[s : s + 200] for _, b in data for s in range(len(b) - 199))
     for i, b in data:
@@ -86,6 +96,69 @@ def test_suffix_order_sorts():
         assert new.tolist() == [k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))]
 
 
+def test_previous_factors():
+    rnd = random.Random(2)
+    for n in (0, 1, 2, 60):
+        text = "".join(rnd.choice("ab") for _ in range(n))
+        order = sorted(range(n), key=lambda i: text[i:])
+        shared = lambda i, j: next((k for k in range(n) if k >= n - max(i, j) or text[i + k] != text[j + k]), 0)
+        common = np.array([0, *[shared(i, j) for i, j in zip(order, order[1:], strict=False)]][:n], np.int64)
+        for least in (1, 3):
+            want = [max([shared(i, j) for j in range(i)], default=0) for i in order]
+            assert previous_factors(np.array(order, np.int64), common, least).tolist() == [w if w >= least else 0 for w in want]
+
+
+def test_a_short_passage_in_very_many_texts_has_many_homes():
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = text(100)
+    table = pa.table({"id": list(range(3000)), "text": [text(180) + passage + text(180) for _ in range(3000)]})
+    chunk, deal = Chunk(table, 200, 64), Deal(0)
+    cols = chunk.first()
+    hot = [a for a, n in zip(*np.unique(cols[0], return_counts=True), strict=True) if n > 1000]
+    assert hot  # one home for all, if an anchor were a home
+    around = Surroundings(64)
+    merged, inverse, first = around.merge(cols)
+    flags = around.spread(around.top(merged), inverse, first)
+    _, home, _, size = chunk.wanted(deal, {0: dumps(*[np.packbits(f) for f in flags])})
+    most = np.unique(home, return_counts=True)[1].max()
+    assert most <= 64 and len(home) >= 3000 and np.median(size) <= 200 + -(-137 // FAMILIES)
+
+
+def test_blobs_stay_small_as_the_corpus_grows():
+    hashes = np.unique(np.random.default_rng(3).integers(0, 2**63, 900_000).astype(U64) * U64(2))
+    for terabytes, most in ((0.001, 3.5), (1, 4.5), (100, 5.5)):
+        deal = Deal(int(np.log2(max(1, terabytes * 1e12 / (5 << 20)))))
+        cut = np.unique(hashes >> U64(64 - deal.bits - 32) << U64(64 - deal.bits - 32))
+        rows = Anchors(deal.bits).ask(0, [cut, np.zeros(len(cut), bool), np.zeros(len(cut), bool)], deal)
+        assert rows.num_rows <= 4096 and rows["blob"].nbytes / len(cut) < most
+        part, blob = rows["part"][7].as_py(), rows["blob"][7].as_py()
+        got = Anchors(deal.bits).load(blob, part, deal.first)[0]
+        assert np.isin(got, cut).all() and (got >> U64(64 - deal.first) == U64(part)).all() if deal.first else True
+
+
+def test_words_that_a_polynomial_takes_for_each_other():
+    one = bytes(97 + bin(i).count("1") % 2 for i in range(1024))
+    two = bytes(195 - x for x in one)
+    h = word_hashes(np.frombuffer(one + two + one, np.uint8), np.array([0, 1024, 2048]), np.array([1024, 2048, 3072]))
+    assert h[0] == h[2] != h[1]
+    rnd = np.random.default_rng(0)
+    data = rnd.integers(97, 99, 5000).astype(np.uint8)
+    start = rnd.integers(0, 4900, 3000)
+    end = start + rnd.integers(1, 90, 3000)
+    by_hash, by_word = {}, {}
+    for a, b, x in zip(start.tolist(), end.tolist(), word_hashes(data, start, end).tolist(), strict=True):
+        assert by_hash.setdefault(x, data[a:b].tobytes()) == data[a:b].tobytes() and by_word.setdefault(data[a:b].tobytes(), x) == x
+
+
+def test_long_words_that_differ_late_are_no_repeats(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(0, " ".join([one] * 20)), (1, " ".join([two] * 20)), (2, " ".join([one] * 20))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 20}
+
+
 def _scan(text):
     found = []
     for k, (kind, pattern, group, least) in enumerate((

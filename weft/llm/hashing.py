@@ -1,9 +1,10 @@
-"""Vectorised word hashes over UTF-8 bytes, without a Python object for each word."""
+"""Vectorised word hashes over UTF-8 bytes, without a Python object for each word, and digests."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ U64 = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _MUL, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+#: Bytes of a word that are hashed eight at a time; longer words have a digest.
+LANED = 64
+#: Masks of the first 0 to 8 bytes of eight.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _powers: dict[str, np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
@@ -56,15 +61,39 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
 
 def words(data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where the words of some bytes start and end, and a 64-bit hash of each; words are runs without ``space`` bytes."""
-    gap = space[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space[data], [True]])))
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return start, end, np.zeros(0, U64)
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up, out=total[1:])
-    return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
+    return start, end, word_hashes(data, start, end)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of some runs of bytes.
+
+    Eight bytes at a time are scrambled into the hash of those before, which unlike a polynomial has no
+    strings that it takes for each other whatever its constants; a word of more than LANED bytes has its
+    BLAKE2b digest. Words of up to 8 bytes never share a hash with others of their length.
+    """
+    size = end - start
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", wide, strides=(1,))  # the eight bytes from each place on
+    out = size.astype(U64) * U64(_MUL)
+    todo, left, at = np.arange(len(start)), size, start
+    for _ in range(LANED // 8):
+        if not len(todo):
+            return out
+        lane = eight[at] & _HEAD[np.minimum(left, 8)]
+        out[todo] = mix(out[todo] * U64(5) ^ lane)
+        more = left > 8
+        todo, left, at = todo[more], left[more] - 8, at[more] + 8
+    for k in todo.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The 128-bit BLAKE2b digests of some runs of bytes, as two columns. Texts are taken for equal by these alone, never by the hashes above."""
+    view, blake = memoryview(data), hashlib.blake2b
+    return np.frombuffer(b"".join([blake(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<u8").reshape(-1, 2)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

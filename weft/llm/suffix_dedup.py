@@ -1,4 +1,4 @@
-"""Byte-level dedup: suffix order and earlier matches among the texts' candidate stretches."""
+"""Byte-level dedup: suffix order and longest previous factors of the texts' candidate stretches."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import ASKS, CHUNK_BYTES, asked, asks, by_part, covered, dealt, deltas, dumps, loads, sums
-from .hashing import _BYTE, SLICE, U64, mix, powers, slices, texts_of
+from .exchange import ASKS, BATCH, CHUNK_BYTES, FAN, Deal, Round, asked, asks, bits_of, by_part, covered, dealt, deltas, dumps, heads, loads, sums
+from .hashing import _BYTE, SLICE, U64, digests, mix, powers, release, slices, texts_of
 
 #: Bytes of a string that counts as a repeat, and of the anchor that each such string holds.
 LENGTH, ANCHOR = 200, 64
 #: Bytes whose suffixes are sorted at a time, unless one anchor alone has more.
 SORTED = 1 << 19
+#: An anchor with more kinds of surroundings than this has so many homes by what lies next to it.
+HOT, FAMILIES = 64, 8
 
 
 def suffix_order(data: np.ndarray, left: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,21 +46,82 @@ def suffix_order(data: np.ndarray, left: np.ndarray, group: np.ndarray, length:
     return a, new
 
 
-def other_matches(order: np.ndarray, new: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which suffixes of the order share their run with one at another place.
+def _nearest_smaller(place: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """The common prefix that each suffix has with the last one before it, in suffix order, of a smaller place; 0 if under ``least``.
 
-    No longest-previous-factor array is computed, and no previous or next smaller places: each run's least
-    and greatest place replace them. A suffix's longest previous factor reaches the run's length just where
-    its run has a smaller place, and it is one for a later suffix just where its run has a greater place.
+    common[i] is that of the suffixes i - 1 and i. All between a suffix and where it looks have places no
+    smaller than its own, so it can go on from there to where that one looks; the common prefix only falls
+    on the way, and a suffix stops once it is under ``least``.
     """
-    if not len(order):
-        return np.zeros(0, bool)
-    run = np.cumsum(new) - 1
-    head = np.flatnonzero(new)
-    p = place[order]
-    least, most = np.minimum.reduceat(p, head)[run], np.maximum.reduceat(p, head)[run]
-    later, earlier = least < p, most > p  # it has an earlier match; it is one for a later suffix
-    return later | earlier
+    at, shared = np.arange(-1, len(place) - 1), np.minimum(common, np.iinfo(np.int32).max)
+    todo = np.flatnonzero(shared >= least)
+    out = np.zeros(len(place), common.dtype)
+    while len(todo):
+        todo = todo[at[todo] >= 0]
+        smaller = place[at[todo]] < place[todo]
+        out[todo[smaller]] = shared[todo[smaller]]
+        todo = todo[~smaller]
+        via = at[todo]
+        shared[todo], at[todo] = np.minimum(shared[todo], shared[via]), at[via]
+        todo = todo[shared[todo] >= least]
+    return out
+
+
+def previous_factors(place: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """The longest-previous-factor array of suffixes in suffix order: how long a prefix also starts at a smaller place; 0 if under ``least``.
+
+    It is the longer of the prefixes shared with the previous and with the next smaller place in that order.
+    """
+    back = np.append(common[1:], 0)[::-1]
+    return np.maximum(_nearest_smaller(place, common, least), _nearest_smaller(place[::-1], back, least)[::-1])
+
+
+def other_matches(order: np.ndarray, new: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Which suffixes of the order share ``length`` bytes with one at another place.
+
+    Those whose longest previous factor is that long, and those that are one for a later suffix: whose
+    longest next factor is. The sort tells common prefixes up to ``length``, so factors end there.
+    """
+    common, p = np.where(new, 0, length), place[order]
+    return (previous_factors(p, common, length) > 0) | (previous_factors(-p, common, length) > 0)
+
+
+class Surroundings(Round):
+    """Anchors with their surroundings: the anchor's hash, the surroundings' 128-bit digest, whether the asker has them several times.
+
+    Answered by three bits: whether they occur again; whether their bytes are wanted, as the anchor has
+    others too and this is the first asker with them; whether the anchor has very many others.
+    """
+
+    kind, flags = 1, 3
+
+    def __init__(self, hot: int):
+        self.hot = hot
+
+    def dump(self, cols: list[np.ndarray], used: int) -> bytes:
+        return dumps(deltas(cols[0]), cols[1], cols[2], np.packbits(cols[3]))
+
+    def load(self, blob: bytes, part: int, used: int) -> list[np.ndarray]:
+        a, x, y, more = loads(blob)
+        return [sums(a), x, y, np.unpackbits(more, count=len(a)).astype(bool)]
+
+    def merge(self, cols):
+        order = np.lexsort((cols[2], cols[1], cols[0]))
+        new = heads(*[c[order] for c in cols[:3]])
+        head = np.flatnonzero(new)
+        inverse, first = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        inverse[order], first[order] = np.cumsum(new) - 1, new
+        more = np.logical_or.reduceat(cols[3][order], head) | (np.diff(np.append(head, len(order))) > 1)
+        return [*[c[order][new] for c in cols[:3]], more], inverse, first
+
+    def top(self, merged):
+        head = np.flatnonzero(heads(merged[0]))
+        size = np.diff(np.append(head, len(merged[0])))
+        kinds = np.repeat(size, size)
+        return [merged[3], kinds > 1, kinds > self.hot]
+
+    def spread(self, up, inverse, first):
+        return [up[0][inverse], up[1][inverse] & first, up[2][inverse] & first]
 
 
 class Chunk:
@@ -69,21 +132,23 @@ class Chunk:
         self.data, self.at = texts_of(table["text"])
         self.reach = length - anchor  # an anchor starts at most so far into a string
         found = [self._slice(i, j) for i, j in slices(self.at, SLICE)]
-        self.pos, self.a, self.x, self.lo, self.hi = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(5))
-        order = np.lexsort((self.pos, self.x, self.a))
-        self.pos, self.a, self.x, self.lo, self.hi = (v[order] for v in (self.pos, self.a, self.x, self.lo, self.hi))
-        n = len(order)
-        self.new = np.concatenate([[True], (np.diff(self.a) != 0) | (np.diff(self.x) != 0)])[:n]
-        self.head = np.flatnonzero(self.new)
-        self.of = np.cumsum(self.new) - 1
-        self.more = np.diff(np.append(self.head, n)) > 1
+        self.pos, self.a, self.lo, self.hi = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+        same = digests(self.data.tobytes(), self.lo, self.hi)
+        shape = (self.pos - self.lo).astype(U64) << U64(32) | (self.hi - self.pos).astype(U64)
+        self.x, self.y = same[:, 0] ^ mix(shape), same[:, 1].copy()
+        order = np.lexsort((self.pos, self.y, self.x, self.a))
+        self.pos, self.a, self.x, self.y, self.lo, self.hi = (v[order] for v in (self.pos, self.a, self.x, self.y, self.lo, self.hi))
+        new = heads(self.a, self.x, self.y)
+        self.head = np.flatnonzero(new)
+        self.of = np.cumsum(new) - 1
+        self.more = np.diff(np.append(self.head, len(order))) > 1
 
     def _slice(self, i: int, j: int) -> tuple[np.ndarray, ...]:
         base, part, bound = self.at[i], self.data[self.at[i] : self.at[j]], self.at[i : j + 1] - self.at[i]
         n, w = len(part), self.reach + 1
         none = np.zeros(0, np.int64)
         if n < self.length:
-            return none, none.astype(U64), none.astype(U64), none, none
+            return none, none.astype(U64), none, none
         up, down = powers(n + 1)
         total = np.zeros(n + 1, U64)
         np.cumsum(_BYTE[part] * up[:n], out=total[1:])
@@ -100,72 +165,56 @@ class Chunk:
         pos = np.unique(pos[np.diff(pos, prepend=-1) != 0])
         row = np.searchsorted(bound, pos, side="right") - 1
         lo, hi = np.maximum(bound[row], pos - self.reach), np.minimum(bound[row + 1], pos + self.length)
-        shape = (pos - lo).astype(U64) << U64(32) | (hi - pos).astype(U64)
-        x = mix((total[hi] - total[lo]) * down[lo] + mix(shape))
-        return pos + base, gram[pos], x, lo + base, hi + base
-
-    def first(self, bits: int) -> dict[int, bytes]:
-        a, x = self.a[self.head], self.x[self.head]
-        return {p: dumps(deltas(a[s]), x[s], np.packbits(self.more[s])) for p, s in by_part(a, bits)}
-
-    def told(self, bits: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """By distinct (anchor, surroundings): whether they occur again, and whether their bytes are wanted."""
-        again, send = np.zeros(len(self.head), bool), np.zeros(len(self.head), bool)
-        for p, s in by_part(self.a[self.head], bits):
-            if p in answers:
-                one, two = loads(answers[p])
-                again[s], send[s] = np.unpackbits(one, count=s.stop - s.start), np.unpackbits(two, count=s.stop - s.start)
-        return again, send
-
-    def second(self, bits: int, answers: dict[int, bytes]) -> dict[int, bytes]:
-        _, send = self.told(bits, answers)
-        at = self.head[send]
+        return pos + base, gram[pos], lo + base, hi + base
+
+    def first(self) -> list[np.ndarray]:
+        """The columns of Surroundings."""
+        return [self.a[self.head], self.x[self.head], self.y[self.head], self.more]
+
+    def wanted(self, deal: Deal, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By distinct (anchor, surroundings) whether they occur again; and of the bytes that are wanted, in the order of their homes: home, where from, how many.
+
+        All copies of a string have their bytes in one home: its anchor's, or, of an anchor with very many
+        surroundings, that of the anchor and what a run of offsets has in common. A string of which the
+        anchor lies at an offset from u to v also holds the u bytes before the anchor and the reach - v
+        after it, so strings that differ there have different homes.
+        """
+        a = self.a[self.head]
+        again, send, hot = bits_of(answers, a, deal.first, 3)
+        plain, many = self.head[send & ~hot], self.head[hot]
+        found = [(self.a[plain], self.lo[plain], self.hi[plain])]
+        w = -(-(self.reach + 1) // FAMILIES)
+        for u in range(0, self.reach + 1, w) if len(many) else ():
+            v, pos = min(self.reach, u + w - 1), self.pos[many]
+            most, least = np.minimum(v, pos - self.lo[many]), np.maximum(u, pos + self.length - self.hi[many])
+            at, pos = many[least <= most], pos[least <= most]
+            context = digests(self.data.tobytes(), pos - u, pos + self.length - v)[:, 0]
+            found.append((mix(self.a[at] ^ mix(context + U64(u))), pos - most[least <= most], pos - least[least <= most] + self.length))
+        home, lo, hi = (np.concatenate([f[k] for f in found]) for k in range(3))
+        order = np.argsort(home, kind="stable")
+        return again, home[order], lo[order], hi[order] - lo[order]
+
+    def second(self, deal: Deal, answers: dict[int, bytes]) -> dict[int, bytes]:
+        _, home, lo, size = self.wanted(deal, answers)
         out = {}
-        for p, s in by_part(self.a[at], bits):
-            some = at[s]
-            size = self.hi[some] - self.lo[some]
-            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            out[p] = dumps(self.a[some], self.lo[some], size, self.data[np.repeat(self.lo[some], size) + inner])
+        for p, s in by_part(home, deal.bits):
+            inner = np.arange(size[s].sum()) - np.repeat(np.cumsum(size[s]) - size[s], size[s])
+            out[p] = dumps(home[s], lo[s], size[s], self.data[np.repeat(lo[s], size[s]) + inner])
         return out
 
-    def removed(self, bits: int, answers: pa.Table) -> np.ndarray:
+    def removed(self, deal: Deal, answers: pa.Table) -> np.ndarray:
         """Which bytes go."""
-        again, send = self.told(bits, asked(answers, 1))
+        again, home, lo, _ = self.wanted(deal, asked(answers, 1))
         got, starts = asked(answers, 2), []
-        for p, s in by_part(self.a[self.head[send]], bits):
+        for p, s in by_part(home, deal.bits):
             if p in got:
                 n = s.stop - s.start
                 mask = np.unpackbits(loads(got[p])[0], count=n * (self.reach + 1)).reshape(n, -1)
                 which, offset = np.nonzero(mask)
-                starts.append(self.lo[self.head[send][s]][which] + offset)
+                starts.append(lo[s][which] + offset)
         out = covered(np.concatenate(starts) if starts else np.zeros(0, np.int64), self.length, len(self.data))
-        full = again[self.of]
-        edge = np.zeros(len(self.data) + 1, np.int64)
-        np.add.at(edge, self.lo[full], 1)
-        np.add.at(edge, self.hi[full], -1)
-        return out | (np.cumsum(edge[:-1]) > 0)
-
-
-def _first_answers(key: tuple, table: pa.Table) -> pa.Table:
-    """Surroundings that occur again are repeats whole. Where an anchor has different ones, one of each is asked for."""
-    blobs = [loads(b) for b in table["blob"].to_pylist()]
-    size = [len(b[0]) for b in blobs]
-    a, x = np.concatenate([sums(b[0]) for b in blobs]), np.concatenate([b[1] for b in blobs])
-    more = np.concatenate([np.unpackbits(b[2], count=n) for b, n in zip(blobs, size, strict=True)]).astype(bool)
-    order = np.lexsort((x, a))
-    sa, sx = a[order], x[order]
-    new_a = np.concatenate([[True], np.diff(sa) != 0])
-    new = new_a | np.concatenate([[True], np.diff(sx) != 0])
-    head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(order)))
-    again = (count > 1) | np.maximum.reduceat(more[order], head)
-    kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_a))[np.cumsum(new_a) - 1]
-    out, send = np.empty(len(order), bool), np.empty(len(order), bool)
-    out[order], send[order] = np.repeat(again, count), new & (kinds > 1)
-    bound = np.cumsum([0, *size])
-    chunks, part = table["chunk"].to_pylist(), key[0].as_py()
-    found = [(chunks[i], dumps(np.packbits(out[p:q]), np.packbits(send[p:q]))) for i, (p, q) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if out[p:q].any() or send[p:q].any()]
-    return _told(part, 1, found)
+        full, n = again[self.of], len(self.data) + 1
+        return out | (np.cumsum((np.bincount(self.lo[full], minlength=n) - np.bincount(self.hi[full], minlength=n))[:-1]) > 0)
 
 
 def _told(part: int, kind: int, found: list[tuple[int, bytes]]) -> pa.Table:
@@ -176,39 +225,39 @@ def _told(part: int, kind: int, found: list[tuple[int, bytes]]) -> pa.Table:
 def _second_answers(length: int, anchor: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         blobs = [loads(b) for b in table["blob"].to_pylist()]
-        src = np.repeat(np.arange(len(blobs)), [len(b[0]) for b in blobs])
-        a, lo, size = (np.concatenate([b[k] for b in blobs]) for k in range(3))
+        src = np.repeat(table["chunk"].to_numpy(), [len(b[0]) for b in blobs])
+        bound = np.cumsum([0, *[len(b[0]) for b in blobs]]).tolist()
+        home, lo, size = (np.concatenate([b[k] for b in blobs]) for k in range(3))
         data = np.concatenate([b[3] for b in blobs])
         del blobs
         begin = np.cumsum(size) - size
-        mask = np.zeros((len(a), length - anchor + 1), np.uint8)
-        by_anchor = np.argsort(a, kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(a[by_anchor], prepend=~a[by_anchor[:1]])), len(a))
+        mask = np.zeros((len(home), length - anchor + 1), np.uint8)
+        by_home = np.argsort(home, kind="stable")
+        edges = np.append(np.flatnonzero(heads(home[by_home])), len(home))
         group = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
-        total = np.concatenate([[0], np.cumsum(size[by_anchor])])[edges]
+        total = np.concatenate([[0], np.cumsum(size[by_home])])[edges]
         i = 0
-        while i < len(edges) - 1:  # whole groups of an anchor, about SORTED bytes at a time
+        while i < len(edges) - 1:  # whole homes, about SORTED bytes at a time
             j = max(i + 1, int(np.searchsorted(total, total[i] + SORTED, side="right")) - 1)
-            some = by_anchor[edges[i] : edges[j]]
-            some, own = some[size[some] >= length], group[edges[i] : edges[j]][size[some] >= length]
+            some = by_home[edges[i] : edges[j]]
+            own = group[edges[i] : edges[j]]
             n = size[some]
             row = np.repeat(np.arange(len(some), dtype=np.int32), n)
             inner = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
             order, new = suffix_order(data[np.repeat(begin[some], n) + inner], (n[row] - inner).astype(np.int32), own[row], length)
-            hit = order[other_matches(order, new, (src[some][row] << 40) + lo[some][row] + inner)]
+            hit = order[other_matches(order, new, (src[some][row] << 40) + lo[some][row] + inner, length)]
             mask[some[row[hit]], inner[hit]] = 1
             i = j
         chunks, found = table["chunk"].to_pylist(), []
-        for i in range(len(chunks)):
-            own = mask[src == i]
-            if own.any():
-                found.append((chunks[i], dumps(np.packbits(own.ravel()))))
+        for c, p, q in zip(chunks, bound[:-1], bound[1:], strict=True):
+            if mask[p:q].any():
+                found.append((c, dumps(np.packbits(mask[p:q].ravel()))))
         return _told(key[0].as_py(), 2, found)
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, fan: int = FAN, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that stay).
 
     A byte goes if a string of ``length`` bytes covers it that also starts anywhere else, in the same row
@@ -217,38 +266,44 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are not looked at.
 
     Suffixes are only sorted where they can match. Of each string the 64-byte gram with the least hash is
-    its anchor, which equal strings share. Chunks of texts tell each anchor's hash and that of all bytes a
-    string around it can have. Where both occur again, all those strings do. Where only the anchor does,
-    one copy of each kind of surroundings is sent, and the part that gathers them sorts their suffixes:
-    neighbours in suffix order with a common prefix of ``length`` give each string its earlier match.
-    The text is shuffled once; all three uses of it share that exchange.
+    its anchor, which equal strings share. Chunks of texts tell each anchor's hash and the 128-bit BLAKE2b
+    digest of all bytes a string around it can have. Where both occur again, all those strings do. Where
+    only the anchor does, one copy of each kind of surroundings is sent, and the part that gathers them
+    sorts their suffixes and computes longest previous factors, from previous and next smaller places in
+    suffix order, and longest next factors: where either is ``length``, the string occurs elsewhere. An
+    anchor with more than ``hot`` surroundings has several homes (see Chunk.wanted), so that a short
+    passage in very many texts is no one task's. The text is shuffled once; its three uses share that.
     """
-    rows, bits = dealt(docs, id_col, text_col, chunk_bytes)
+    rows, deal = dealt(docs, id_col, text_col, chunk_bytes, fan, batch)
     chunks = rows.groupBy("chunk")
     id_type = dict(docs.dtypes)[id_col]
+    around = Surroundings(hot)
 
     def first_asks(key: tuple, table: pa.Table) -> pa.Table:
-        return asks(key[0].as_py(), 1, Chunk(table, length, anchor).first(bits))
+        return around.ask(key[0].as_py(), Chunk(table, length, anchor).first(), deal)
 
     def second_asks(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return asks(0, 2, {})
-        return asks(key[0].as_py(), 2, Chunk(table, length, anchor).second(bits, asked(answers, 1)))
+        return asks(key[0].as_py(), 2, Chunk(table, length, anchor).second(deal, asked(answers, 1)))
 
-    def result(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def result(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), **{c: pa.array([], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}, "kept": pa.array([], pa.binary())})
         chunk = Chunk(table, length, anchor)
-        gone = chunk.removed(bits, answers)
+        gone = chunk.removed(deal, answers)
         at = chunk.at
         total = np.concatenate([[0], np.cumsum(gone)])
         head = gone & ~np.concatenate([[False], gone[:-1]])
         head[at[:-1][at[:-1] < len(gone)]] |= gone[at[:-1][at[:-1] < len(gone)]]
         spans = np.concatenate([[0], np.cumsum(head)])
         kept = [chunk.data[a:b][~gone[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({"id": chunk.ids, "n_bytes": np.diff(at), "n_removed": np.diff(total[at]), "n_spans": np.diff(spans[at]), "kept": pa.array(kept, pa.binary())})
+        found = pa.table({"id": chunk.ids, "n_bytes": np.diff(at), "n_removed": np.diff(total[at]), "n_spans": np.diff(spans[at]), "kept": pa.array(kept, pa.binary())})
+        del chunk
+        release()
+        return found
 
-    one = chunks.applyInArrow(first_asks, ASKS).groupBy("part").applyInArrow(_first_answers, ASKS)
+    one = around.answered(chunks.applyInArrow(first_asks, ASKS), deal)
     two = chunks.cogroup(one.groupBy("chunk")).applyInArrow(second_asks, ASKS).groupBy("part").applyInArrow(_second_answers(length, anchor), ASKS)
     out = chunks.cogroup(one.unionByName(two).groupBy("chunk")).applyInArrow(result, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
