@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir, which the driver and all executors share.
+
+    Where it is unset a temporary folder becomes it, but only where driver and executors are one process.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='weft-')}"
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -70,29 +76,41 @@ def held_out(id_col):
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> tuple[list[str], list[str], float]:
-    """Texts of at most ``limit`` rows of label 1 and of label 0, in a fixed order, and the share of label 1.
+#: Bytes of text that a class's sample may hold; rows beyond that are left out of it.
+SAMPLE_BYTES = 48 << 20
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int, limit_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str], float]:
+    """Texts of at most ``limit`` rows and ``limit_bytes`` of label 1 and of label 0, in a fixed order, and the share of label 1.
 
     Only ids that are not held out; ids labelled both ways are left out. The ids are drawn from the
-    labels by hash, so at most 2 * limit ids are broadcast and as many texts reach the driver.
+    labels by hash, so at most 2 * limit ids are broadcast and as many texts reach the driver, those
+    before the first one in their order that would exceed the bytes.
     """
     seen = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     agreed = seen.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z").select("__id", "y")
     by = {r["y"]: r["n"] for r in agreed.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    ids = [agreed.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").select("__id", "y").limit(limit) for y in (1, 0)]
+    few = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), "__id")
+    few = stored(few.select("y", F.xxhash64("__id").alias("h"), "text"), "sample")
     texts: list[list[str]] = []
     for y in (1, 0):
-        ids = agreed.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").select("__id").limit(limit)
-        few = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "__id")
-        texts.append([r["text"] for r in few.orderBy(F.xxhash64("__id"), "text").limit(limit).collect()])
+        own = few.where(F.col("y") == y)
+        sizes = [r["n"] for r in own.select("h", "text", F.octet_length("text").alias("n")).orderBy("h", "text").limit(limit).select("n").collect()]
+        fits = next((i for i in range(len(sizes)) if sum(sizes[: i + 1]) > limit_bytes), len(sizes))
+        texts.append([r["text"] for r in own.orderBy("h", "text").limit(fits).collect()])
     total = sum(by.values())
     return texts[0], texts[1], by.get(1, 0) / total if total else 0.5
 
 
-def without(docs: DataFrame, id_col: str, gone: DataFrame, key: str, broadcast_rows: int) -> DataFrame:
-    """The rows of docs whose (id, key) isn't among ``gone`` (columns __gone and key, distinct), null ids included.
+def matching(docs: DataFrame, id_col: str, side: DataFrame, by: list[str], broadcast_rows: int, how: str) -> DataFrame:
+    """The rows of docs whose id and columns ``by`` are (left_semi) or aren't (left_anti) among the distinct rows (id, *by) of side; null ids match.
 
     Up to broadcast_rows of those are broadcast, so that no text moves; more meet the rows in a shuffle.
     """
-    side = gone.withColumnRenamed(key, "__key")
-    side = F.broadcast(side) if side.count() <= broadcast_rows else side
-    return docs.join(side, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col(key) == F.col("__key")), "left_anti")
+    few = side.select(F.col("id").alias("__gone"), *[F.col(c).alias(f"__other{c}") for c in by])
+    few = F.broadcast(few) if few.count() <= broadcast_rows else few
+    same = docs[id_col].eqNullSafe(few["__gone"])
+    for c in by:
+        same = same & (docs[c] == few[f"__other{c}"])
+    return docs.join(few, same, how)

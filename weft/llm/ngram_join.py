@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_join, stored, without
+from .common import matching, skew_join, stored
 from .components import components
-from .exchange import dumps, loads
+from .exchange import dumps, heads, loads
 from .hashing import U64, batches_of, mix, rolling, row_words, texts_of
 
 NGRAM, THRESHOLD = 5, (4, 5)  # words of a shingle; the least Jaccard similarity as a fraction
@@ -21,7 +21,7 @@ BANDS, ROWS = 36, 5
 #: Values compared before each look at the posterior, and the probability with which a link may be lost.
 STEP, TOLERANCE = 10, 1e-6
 #: Texts of a candidate group that one task compares with as many others.
-BLOCK = 256
+BLOCK = 512
 #: Texts, about, whose small candidate groups one call takes.
 LOT = 250
 #: Up to so many ids of texts in candidate groups are broadcast to find their texts again; beyond, they shuffle.
@@ -130,6 +130,15 @@ def links(left: list[np.ndarray], right: list[np.ndarray], sig_l: np.ndarray, si
     return i[ok], j[ok]
 
 
+def _owned(i: np.ndarray, j: np.ndarray, sig_l: np.ndarray, sig_r: np.ndarray, nth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are this group's to count: of a bucket of band ``nth``, those that share no band before it; -1 is a group of all bands."""
+    if nth > 0 and len(i):
+        left, right = band_keys(sig_l)[:, :nth], band_keys(sig_r)[:, :nth]
+        mine = ~(left[i] == right[j]).any(1)
+        i, j = i[mine], j[mine]
+    return i, j
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least index that each of n is linked to, directly or not."""
     root = np.arange(n)
@@ -175,21 +184,23 @@ def _linked(nodes: np.ndarray, degree: np.ndarray, root: np.ndarray) -> pa.Table
     return pa.table({"node": pa.array(nodes, pa.int64()), "degree": pa.array(degree, pa.int64()), "root": pa.array(nodes[root] if len(nodes) else nodes, pa.int64())})
 
 
-def _distinct(nodes: np.ndarray) -> np.ndarray:
-    return np.unique(nodes, return_index=True)[1]
+def _distinct(table: pa.Table) -> pa.Table:
+    """One row of each node of a group."""
+    node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
+    order = np.lexsort((node, comp))
+    return table.take(pa.array(order[heads(comp[order], node[order])]))
 
 
 def _whole_groups(table: pa.Table) -> pa.Table:
     """Small candidate groups, each compared whole."""
-    table = table.take(pa.array(_distinct(table["node"].to_numpy())))
-    comp, node, size = (table[c].to_numpy() for c in ("comp", "node", "size"))
+    table = _distinct(table)
+    comp, node, size, nth = (table[c].to_numpy() for c in ("comp", "node", "size", "nth"))
     sets = [np.frombuffer(m, U64) for m in table["members"].to_pylist()]
-    order = np.argsort(comp, kind="stable")
     out = []
-    for own in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+    for own in np.split(np.arange(len(comp)), np.flatnonzero(np.diff(comp)) + 1):
         some = [sets[k] for k in own]
         sig = signatures(some)
-        i, j = links(some, some, sig, sig, True)
+        i, j = _owned(*links(some, some, sig, sig, True), sig, sig, int(nth[own[0]]))
         weight = size[own]
         degree = np.bincount(i, weight[j], len(own)) + np.bincount(j, weight[i], len(own))
         out.append(_linked(node[own], degree, _roots(len(own), i, j)))
@@ -198,10 +209,10 @@ def _whole_groups(table: pa.Table) -> pa.Table:
 
 def _as_block(key: tuple, table: pa.Table) -> pa.Table:
     """A block of a large candidate group as one blob; near copies pack well together."""
-    table = table.take(pa.array(_distinct(table["node"].to_numpy())))
+    table = _distinct(table)
     sets = [np.frombuffer(m, U64) for m in table["members"].to_pylist()]
     blob = dumps(table["node"].to_numpy(), table["size"].to_numpy(), np.array([len(s) for s in sets]), signatures(sets).ravel(), np.concatenate(sets).view(np.uint8))
-    return pa.table({"comp": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int32()), "blocks": pa.array([table["blocks"][0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
+    return pa.table({"comp": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int32()), "blocks": pa.array([table["blocks"][0].as_py()], pa.int32()), "nth": pa.array([table["nth"][0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
 
 def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -213,83 +224,128 @@ def _block_pair(key: tuple, table: pa.Table) -> pa.Table:
     """Two blocks of a group (or one, with itself) against each other."""
     rows = sorted(zip(table["block"].to_pylist(), table["blob"].to_pylist(), strict=True))
     node, size, sig, sets = _opened(rows[0][1])
+    nth = table["nth"][0].as_py()
     if len(rows) == 1:
         if key[1].as_py() != key[2].as_py():  # the other block has no texts
             return _linked(node[:0], size[:0], size[:0])
-        i, j = links(sets, sets, sig, sig, True)
+        i, j = _owned(*links(sets, sets, sig, sig, True), sig, sig, nth)
     else:
         node2, size2, sig2, sets2 = _opened(rows[1][1])
-        i, j = links(sets, sets2, sig, sig2, False)
+        i, j = _owned(*links(sets, sets2, sig, sig2, False), sig, sig2, nth)
         j = j + len(node)
         node, size = np.concatenate([node, node2]), np.concatenate([size, size2])
     degree = np.bincount(i, size[j], len(node)) + np.bincount(j, size[i], len(node))
     return _linked(node, degree, _roots(len(node), i, j))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """One row per input row: id, class_id (least id of its class), n_links (other rows with similarity 0.8 or more), n_shingles, text_key (xxhash64 of the text).
-
-    Similarity is Jaccard over the sets of word 5-grams, words being runs without U+0020 and U+0009 to
-    U+000D; a class is what links connect. A text of one to four words has one shingle; an empty or null
-    text has none and links to nothing. A null id comes last in its class. Repeated rows are copies. An
-    empty table gives no rows; other columns are not looked at.
+def _placed(nodes: DataFrame, members: DataFrame, buckets: DataFrame, groups: DataFrame, n_nodes: int, block: int) -> DataFrame:
+    """(node, comp, blocks, nth): the groups that nodes are compared in.
 
-    1. Rows with the same set are one node from here on, so copies are never paired.
-    2. Nodes that share a band of MinHash values are joined to the bucket's first node; what that
-       connects is a candidate group. No pairs are listed.
-    3. A group's texts are read again and compared in one task, or if they are many in blocks, each with
-       each: all pairs of sizes that allow a link have their MinHash values compared step by step, and are dropped once
-       the posterior probability of a link is below a share of TOLERANCE; the others' shingles are counted exactly.
-       A task gives each node's links and a forest, never the pairs.
-    4. The forests' components are the classes.
+    A candidate group is compared whole, which hands each node to as many tasks as the group has blocks.
+    One that chance links have chained together costs less by its buckets, where a node meets only those
+    that share a band with it, and a pair belongs to its first common band; the cheaper way is counted
+    out for each group. The whole group loses no pair, buckets lose one with probability 6.2e-7.
     """
+    n_blocks = lambda c: F.ceil(F.col(c) / block)
+    sized = groups.groupBy("label").agg(F.count("*").alias("m"))
+    by_bands = buckets.join(groups.withColumnRenamed("node", "leader"), "leader").groupBy("label").agg(F.sum(F.col("weight") * n_blocks("weight")).alias("by_bands"))
+    sized = sized.join(by_bands, "label").select("label", F.col("m").alias("weight"), n_blocks("m").cast("int").alias("blocks"), (F.col("by_bands") < F.col("m") * n_blocks("m")).alias("banded"))
+    sized = stored(sized, "near-sizes")
+    placed = stored(skew_join(groups, sized, ["label"], "weight", max(1, n_nodes)), "near-groups")
+    whole = placed.where("NOT banded").select("node", F.col("label").alias("comp"), "blocks", F.lit(-1).alias("nth"))
+    if not sized.where("banded").limit(1).count():
+        return whole
+    own = members.join(placed.where("banded").select("node"), "node")
+    own = skew_join(stored(own, "near-banded"), buckets.drop("leader").withColumn("blocks", n_blocks("weight").cast("int")), ["band"], "weight", max(1, n_nodes * BANDS), share=10_000)
+    return whole.unionByName(own.where("blocks IS NOT NULL").select("node", F.col("band").alias("comp"), "blocks", "nth"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, block: int, broadcast_ids: int) -> DataFrame:
+    """One row per input row: id, text_key, class_id, class_key (both of the class's first row), copies (rows with its shingles), n_links, n."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(docs.dtypes)[id_col]
-    told = stored(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_described, f"id {id_type}, text_key long, n long, c1 long, c2 long, bands array<long>"), "near-rows")
+    told = stored(rows.withColumn("text_key", text_key("text")).mapInArrow(_described, f"id {id_type}, text_key binary, n long, c1 long, c2 long, bands array<long>"), "near-rows")
     full = told.where("n > 0")
     key = ["n", "c1", "c2"]
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
-    nodes = full.groupBy(*key).agg(F.count("*").alias("size"), best.alias("best"), F.first("bands").alias("bands"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), *key, "size", F.col("best.id").alias("first_id"), "bands"), "near-nodes")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    nodes = full.groupBy(*key).agg(F.count("*").alias("size"), F.min(first).alias("best"), F.first("bands").alias("bands"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), *key, "size", F.col("best.id").alias("first_id"), F.col("best.text_key").alias("first_key"), "bands"), "near-nodes")
 
-    members = nodes.select("node", F.explode("bands").alias("band"))
+    members = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
     buckets = members.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("weight")).where("weight > 1")
     n_nodes = nodes.count()
-    joined = skew_join(members, stored(buckets, "near-buckets"), ["band"], "weight", max(1, n_nodes * BANDS), share=10_000)
+    buckets = stored(buckets, "near-buckets")
+    joined = skew_join(members.drop("nth"), buckets, ["band"], "weight", max(1, n_nodes * BANDS), share=10_000)
     groups = components(joined.where("leader IS NOT NULL AND leader <> node").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    group_size = groups.groupBy("label").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    placed = skew_join(groups, group_size.withColumn("weight", F.col("m")), ["label"], "weight", max(1, n_nodes)).withColumn("blocks", blocks)
-    placed = stored(placed.join(nodes.drop("bands"), "node").select("node", F.col("label").alias("comp"), "blocks", *key, "size", "first_id"), "near-placed")
+    placed = _placed(nodes, members, buckets, groups, n_nodes, block)
+    placed = stored(placed.join(nodes.drop("bands", "first_key"), "node"), "near-placed")
 
     ids = placed.select(F.col("first_id").alias("id")).distinct()
     n_ids = ids.count()
     side = F.broadcast(ids) if n_ids <= broadcast_ids else ids
     again = rows.join(side.withColumnRenamed("id", "want"), F.col("id").eqNullSafe(F.col("want")), "left_semi")
     sets = again.mapInArrow(_sets, "n long, c1 long, c2 long, members binary").join(placed.drop("first_id"), key)
-    lots = max(1, -(-n_ids // LOT))
+    lots = max(1, -(-placed.count() // LOT))
     small = sets.where("blocks = 1").withColumn("lot", F.pmod(F.xxhash64("comp"), F.lit(lots))).groupBy("lot").applyInArrow(_whole_groups, _OUT)
     large = sets.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blobs = large.groupBy("comp", "block").applyInArrow(_as_block, "comp long, block int, blocks int, blob binary")
-    paired = blobs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "blob")
+    blobs = large.groupBy("comp", "block").applyInArrow(_as_block, "comp long, block int, blocks int, nth int, blob binary")
+    paired = blobs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "nth", "blob")
     found = small.unionByName(paired.groupBy("comp", "low", "high").applyInArrow(_block_pair, _OUT))
     found = stored(found, "near-links")
 
     degree = found.groupBy("node").agg(F.sum("degree").alias("degree"))
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
-    named = nodes.select("node", *key, "size", "first_id").join(classes, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.drop("bands").join(classes, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named, "near-named")
-    least = named.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"))).alias("least"), F.count("*").alias("weight"))
-    named = skew_join(named, least.select("label", F.col("least.id").alias("class_id"), "weight"), ["label"], "weight", max(1, n_nodes))
-    named = stored(named.select(*key, "class_id", (F.coalesce("degree", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("size").alias("weight")), "near-classes")
-    out = skew_join(full.drop("bands"), named, key, "weight", max(1, full.count())).select("id", "class_id", "n_links", "n", "text_key")
-    out = out.unionByName(told.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n", "text_key"))
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n").alias("n_shingles"), "text_key")
-
-
-def near_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
-    """The input rows that are their class's first by near_duplicates(), with all their columns."""
-    judged = near_duplicates(docs, id_col, text_col, broadcast_ids=broadcast_ids, **options)
-    gone = judged.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone"), F.col("text_key").alias("__text")).distinct()
-    out = without(docs.withColumn("__text", F.xxhash64(text_col)), id_col, stored(gone, "near-dropped"), "__text", broadcast_ids)
+    first = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "first_key")
+    least = named.groupBy("label").agg(F.min(first).alias("least"), F.count("*").alias("weight"))
+    named = skew_join(named, least.select("label", F.col("least.first_id").alias("class_id"), F.col("least.first_key").alias("class_key"), "weight"), ["label"], "weight", max(1, n_nodes))
+    named = stored(named.select(*key, "class_id", "class_key", (F.coalesce("degree", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), F.col("size").alias("copies"), F.col("size").alias("weight")), "near-classes")
+    columns = ["id", "text_key", "class_id", "class_key", "copies", "n_links", "n"]
+    out = skew_join(full.drop("bands"), named, key, "weight", max(1, full.count())).select(columns)
+    alone = told.where("n = 0").select("id", "text_key", F.col("id").alias("class_id"), F.col("text_key").alias("class_key"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"), "n")
+    return out.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """One row per input row: id, class_id (least id of its class), n_links (other rows with similarity 0.8 or more), n_shingles.
+
+    Similarity is Jaccard over the sets of word 5-grams, words being runs without U+0020 and U+0009 to
+    U+000D; a class is what links connect. A text of one to four words has one shingle; an empty or null
+    text has none and links to nothing. A null id comes last in its class. Repeated rows are copies. An
+    empty table gives no rows; other columns are not looked at.
+
+    1. Rows with the same set are one node from here on, so copies are never paired.
+    2. Nodes that share a band of MinHash values are joined to the bucket's first node; what that
+       connects is a candidate group. No pairs are listed.
+    3. A group's texts are read again and compared in one task, or if they are many in blocks, each with
+       each, or by their buckets where that is cheaper (see _placed): all pairs of sizes that allow a link have their MinHash values compared step by step, and are dropped once
+       the posterior probability of a link is below a share of TOLERANCE; the others' shingles are counted exactly.
+       A task gives each node's links and a forest, never the pairs.
+    4. The forests' components are the classes.
+    """
+    found = _judged(docs, id_col, text_col, block, broadcast_ids)
+    return found.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("n").alias("n_shingles"))
+
+
+def near_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The input rows that are their class's first by near_duplicates(), one of each class, with all their columns.
+
+    The first is the row of the least id (a null one comes last), of several rows of that id the one of the
+    least digest of its text, and of rows that repeat it whole one, whichever. Rows without a word are in
+    classes of their own and all stay. An empty table stays empty; columns may have any names but __text.
+    """
+    judged = _judged(docs, id_col, text_col, block, broadcast_ids).where("n > 0")
+    judged = judged.select("id", F.col("text_key").alias("__text"), "copies", (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))).alias("same"))
+    judged = stored(judged.where("NOT same OR copies > 1"), "near-dropped")
+    gone = judged.where("NOT same").select("id", "__text").distinct()
+    again = judged.where("same").groupBy("id", "__text").agg(F.count("*").alias("n")).where("n > 1").select("id", "__text")
+    out = matching(docs.withColumn("__text", text_key(text_col)), id_col, gone, ["__text"], broadcast_ids, "left_anti")
+    if again.limit(1).count():  # a row that goes repeats the one that stays
+        out = matching(out, id_col, again, ["__text"], broadcast_ids, "left_anti").unionByName(matching(out, id_col, again, ["__text"], broadcast_ids, "left_semi").dropDuplicates([id_col, "__text"]))
     return out.drop("__text")
+
+
+def text_key(text: str) -> Column:
+    """128 bits that tell texts apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
