@@ -1,7 +1,10 @@
 """Classifiers, decontamination, packing and the pipeline."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.llm import decontaminate as leak
-from weft.llm import packing, quality, toxicity
+from weft.llm import packing, quality, registry, toxicity
 from weft.llm.registry import digests, tokenizer_path
 
 
@@ -105,6 +108,84 @@ def test_search_equals_plain_bm25():
     assert all(abs(want[p, k] - s) < 1e-9 for p, k, s in zip(*got, strict=True))
 
 
+def _brute_leaks(docs, items):
+    """All leaks by plain BM25 of every passage with every item, and the overlaps by sets of word tuples."""
+    tokens = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    whole = {k: tokens(t) for k, t in items if tokens(t)}
+    df = Counter(w for x in whole.values() for w in set(x))
+    mean, hop = sum(map(len, whole.values())) / len(whole), max([32, *map(len, whole.values())])
+    impact = {}
+    for k, x in whole.items():
+        tf = Counter(x)
+        own = {w: math.log(1 + (len(whole) - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w, c in tf.items()}
+        impact[k] = {w: v / sum(own.values()) for w, v in own.items()}
+
+    def overlap(want, has):
+        n = min(5, len(want))
+        there = {tuple(has[i : i + n]) for i in range(len(has) - n + 1)}
+        hit = [tuple(want[i : i + n]) in there for i in range(len(want) - n + 1)]
+        return sum(any(hit[max(0, i - n + 1) : i + 1]) for i in range(len(want))) / len(want) if want else 1.0
+
+    found = set()
+    for row, text in docs:
+        w = tokens(text)
+        for begin in range(0, max(1, len(w) - hop), hop):
+            has = w[begin : begin + 2 * hop]
+            distinct = set(has)
+            for k, t in items:
+                if k in whole and sum(v for x, v in impact[k].items() if x in distinct) >= leak.THRESHOLD - 1e-9:
+                    q, a = leak.split_item(t)
+                    if min(overlap(tokens(q), has), overlap(tokens(a), has)) >= 0.5:
+                        found.add((row, k))
+    return found
+
+
+def _altered(rnd, words, share):
+    """A copy with some words replaced, dropped or doubled."""
+    out = []
+    for w in words:
+        x = rnd.random()
+        out += [w] if x > share else [[], [w + "x"], [w, w]][rnd.randrange(3)]
+    return out
+
+
+def test_the_whole_query_against_brute_force(spark):
+    items, vocab, rnd = _items(60, 12)
+    docs, copies = [], set()
+    for row in range(240):
+        w = rnd.choices(vocab, k=rnd.randint(0, 300))
+        k = rnd.randrange(len(items))
+        q, a = leak.split_item(items[k][1])
+        some = {0: "", 1: items[k][1], 2: q, 3: a, 4: " ".join(_altered(rnd, items[k][1].split(), 0.04)), 5: a + " filler " + q}[row % 6]
+        if row % 6 == 4 and len(items[k][1].split()) > 30:
+            copies.add((row, k))
+        at = rnd.randint(0, len(w))
+        docs.append((row, " ".join([*w[:at], *some.split(), *w[at:]])))
+    want = _brute_leaks(docs, items)
+    assert {r % 6 for r, _ in want} == {1, 4, 5}  # neither questions nor answers alone
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 2000):
+        assert {(r.doc_id, r.item_id) for r in leak.benchmark_leaks(df, benchmark, index_bytes=size).collect()} == want
+        assert {r.doc_id for r in leak.without_leaks(df, benchmark, index_bytes=size).collect()} == {r for r, _ in docs} - {r for r, _ in want}
+    assert len(copies & want) >= 0.9 * len(copies) > 5  # recall of altered copies
+
+
+def test_leaks_of_a_whole_table_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(*c).collect()] for t, c in (("documents", ("doc_id", "text")), ("benchmark", ("item_id", "text"))))
+    got = {(r.doc_id, r.item_id) for r in registry.op3_decontaminate(spark, sf).collect()}
+    assert got == _brute_leaks(docs, items) and got
+
+
+def test_items_may_have_any_ids(spark):
+    items = [("a-1", "one two three four five six seven. eight nine ten"), (None, "this is asked of all of us here? the answer is that")]
+    docs = spark.createDataFrame([(k, f"x y {t} z") for k, (_, t) in enumerate(items)] + [(2, "one two three four five six seven."), (3, None)], "doc_id long, text string")
+    for size in (1 << 20, 8):
+        out = leak.benchmark_leaks(docs, spark.createDataFrame(items, "item_id string, text string"), index_bytes=size)
+        assert {(r.doc_id, r.item_id) for r in out.collect()} == {(0, "a-1"), (1, None)}
+        assert sorted(r.doc_id for r in leak.without_leaks(docs, spark.createDataFrame(items, "item_id string, text string"), index_bytes=size).collect()) == [2, 3]
+
+
 def test_leaks_on_messy_rows(spark, messy):
     items = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, ""), (None, "x"), (4, "the same the same")], "item_id long, text string")
     for size in (1 << 20, 8):

@@ -9,16 +9,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
+from .exchange import covered
 from .hashing import batches_of, rolling, row_words, texts_of
 
 K1, B = 1.2, 0.75
 #: A passage is looked at for an item where its BM25 score reaches this share of the item's own score.
 THRESHOLD = 0.6
-#: Word n-grams that question, answer and both together are compared by, and the shares of an item's that must occur.
-NGRAM, WHOLE, HALF = 5, 0.8, 0.5
+#: Word n-grams that question and answer are compared by, and the share of each one's words that common n-grams must cover.
+NGRAM, HALF = 5, 0.5
 #: Items in a block, and at most so many bytes of items in one index; more items make more passes, each with its own index.
-BLOCK, INDEX_BYTES = 16, 1 << 20
+BLOCK, INDEX_BYTES = 16, 4 << 20
 #: Terms of more items than this, or this share of all, are common: what they can give a block is added unseen.
 COMMON_ITEMS, COMMON = 32, 0.1
 
@@ -42,8 +45,9 @@ def _hashes(texts: list[str]) -> list[np.ndarray]:
     return [h[first[i] : first[i + 1]] for i in range(len(texts))]
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    return np.unique(rolling(h, n))
+def overlap(want: np.ndarray, n: int, size: int, grams: np.ndarray) -> float:
+    """The share of ``size`` words that those of their n-grams ``want`` cover that occur; of no words all do."""
+    return float(covered(np.flatnonzero(np.isin(want, grams)), n, size).mean()) if size else 1.0
 
 
 class Totals(NamedTuple):
@@ -56,7 +60,7 @@ class Totals(NamedTuple):
     longest: int
 
 
-def totals(shards: Iterable[list[tuple[int, str]]]) -> Totals:
+def totals(shards: Iterable[list[tuple[object, str]]]) -> Totals:
     """Of all items of some shards, one shard at a time: 16 bytes for each distinct term are held."""
     terms, df, lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
     for items in shards:
@@ -74,7 +78,7 @@ class Index:
     ``known``: the totals of all items, if these are but a shard of them.
     """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, known: Totals | None = None):
+    def __init__(self, items: list[tuple[object, str]], threshold: float = THRESHOLD, known: Totals | None = None):
         known = known or totals([items])
         items = sorted(((k, t) for k, t in items if t and t.strip()), key=lambda x: len(x[1]))
         whole = _hashes([t for _, t in items])
@@ -83,7 +87,7 @@ class Index:
         whole = [whole[i] for i in some]
         halves = [split_item(items[i][1]) for i in some]
         question, answer = _hashes([q for q, _ in halves]), _hashes([a for _, a in halves])
-        self.parts = [[(n, grams(h, n)) if (n := min(NGRAM, len(h))) else (1, np.zeros(0, np.uint64)) for h in x] for x in zip(question, answer, whole, strict=True)]
+        self.parts = [[(n := max(1, min(NGRAM, len(h))), rolling(h, n), len(h)) for h in x] for x in zip(question, answer, whole, strict=True)]
         self.hop = known.longest
         self.threshold = threshold
         n = len(whole)
@@ -184,17 +188,11 @@ def leaks(texts: pa.Array, index: Index) -> list[tuple[int, int, float, float, f
     chunk = chunk_of[word_row] + (np.arange(len(h)) - first[word_row]) // index.hop
     p, item, score = index.search(index.lookup(h), chunk, begin, end, left, np.where(chunks[row] > 1, left + 1, left))
     best: dict[tuple[int, int], tuple] = {}
-    rolled: dict[int, np.ndarray] = {}
     for i, k, s in zip(p.tolist(), item.tolist(), score.tolist(), strict=True):
         words = h[begin[i] : end[i]]
-        rolled = {}
-        share = []
-        for size, want in index.parts[k]:
-            if size not in rolled:
-                rolled[size] = rolling(words, size)
-            share.append(float(np.isin(want, rolled[size]).mean()) if len(want) else 0.0)
-        q, a, w = share
-        if w >= WHOLE or (w >= HALF and q >= HALF and a >= HALF):
+        rolled = {n: rolling(words, n) for n in {n for n, _, _ in index.parts[k]}}
+        q, a, w = (overlap(want, n, size, rolled[n]) for n, want, size in index.parts[k])
+        if q >= HALF and a >= HALF:
             key = (int(row[i]), k)
             if key not in best or (w, s) > (best[key][3], best[key][0]):
                 best[key] = (s, q, a, w, int(begin[i] - first[row[i]]))
@@ -206,9 +204,12 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
     Every text is cut into passages of twice the longest item, one item's length apart, so that each
     copy lies in one. Each passage is a BM25 query to an index of the items; all that reach the threshold
-    are verified by the word 5-grams of question, answer and both. Rows without a leak give no row; a
-    null or empty text or item matches nothing, and an empty table gives no rows. Repeated rows give
-    repeated results; other columns are not looked at.
+    are verified: common word 5-grams have to cover half the words of the question and half those of the
+    answer, each by itself. A question or answer of fewer than five words has to occur as a whole; one
+    without a word is no condition, and an item of one sentence is question and answer alike. Rows
+    without a leak give no row; a null or empty text or item matches nothing, and an empty table gives no
+    rows. Items may have ids of any type, null ones too. Repeated rows give repeated results; other
+    columns are not looked at.
 
     An index holds at most index_bytes of items; larger sets are dealt over several, each of which all
     documents pass by in turn. Document frequencies, the number of items, their mean length and the
@@ -217,18 +218,18 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type, out = dict(docs.dtypes)[id_col], None
     for index in _indexes(items, item_col, item_text, threshold, index_bytes):
-        found = _pass(rows, index, id_type)
+        found = _pass(rows, index, id_type, items.schema[item_col].dataType)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
 
 def _indexes(items: DataFrame, item_col: str, item_text: str, threshold: float, index_bytes: int) -> Iterator[Index]:
     """Indexes of at most about index_bytes of items each, at least one; several share the totals of all items, which are read twice then."""
-    items = items.select(F.col(item_col).alias("k"), F.col(item_text).alias("t")).where("t IS NOT NULL AND k IS NOT NULL")
+    items = items.select(F.col(item_col).alias("k"), F.col(item_text).alias("t")).where("t IS NOT NULL")
     held = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     shards = max(1, -(-held // index_bytes))
 
-    def shard(i: int) -> list[tuple[int, str]]:
+    def shard(i: int) -> list[tuple[object, str]]:
         return [(r["k"], r["t"]) for r in items.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == i).collect()]
 
     known = totals(map(shard, range(shards))) if shards > 1 else None
@@ -237,7 +238,11 @@ def _indexes(items: DataFrame, item_col: str, item_text: str, threshold: float,
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The input rows in which no test item is found, with all their columns, judged as by benchmark_leaks()."""
+    """The input rows in which no test item is found, with all their columns, judged as by benchmark_leaks().
+
+    Rows with a null or empty text stay; repeated rows stay or go together. Without items all rows stay, and an
+    empty table stays empty.
+    """
     at = docs.columns.index(text_col)
     for index in _indexes(items, item_col, item_text, threshold, index_bytes):
 
@@ -251,15 +256,15 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     return docs
 
 
-def _pass(rows: DataFrame, index: Index, id_type: str) -> DataFrame:
+def _pass(rows: DataFrame, index: Index, id_type: str, item_type: DataType) -> DataFrame:
     names = ["item_id", "score", "question", "answer", "whole", "first_word"]
+    kinds = [to_arrow_type(item_type), *[pa.float64()] * 4, pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, 1):
             got = leaks(b.column(1), index)
             if got:
-                kinds = [pa.int64(), *[pa.float64()] * 4, pa.int64()]
                 cols = [b.column(0).take(pa.array([g[0] for g in got], pa.int64())), *[pa.array([g[i + 1] for g in got], kind) for i, kind in enumerate(kinds)]]
                 yield pa.RecordBatch.from_arrays(cols, ["id", *names])
 
-    return rows.mapInArrow(run, f"id {id_type}, item_id long, score double, question double, answer double, whole double, first_word long")
+    return rows.mapInArrow(run, f"id {id_type}, item_id {item_type.simpleString()}, score double, question double, answer double, whole double, first_word long")
