@@ -19,6 +19,8 @@ OPAQUE = (r"([A-Za-z0-9+/_-]{24,})", 1, 24)
 #: A candidate that more owners or repositories than this have is a copied example.
 MAX_OWNERS, MAX_REPOS = 1, 2
 KINDS = [*BASE, "opaque"]
+#: Matches of a text that are walked together.
+RUN = 256
 
 
 def _any(text: Column, parts: list[str]) -> Column:
@@ -41,25 +43,32 @@ GUARDS = {
 def spans(text: Column, kind: str) -> Column:
     """array<struct<start, kind, end, hash>> of the leftmost non-overlapping matches that pass, in code points.
 
-    The pieces between matches and the matches alternate, so their lengths add up to the positions.
+    The pieces between matches and the matches alternate, so their lengths add up to the positions. Of m
+    matches the work grows with m * RUN and (m / RUN) squared.
     """
     pattern, group, least = BASE.get(kind, OPAQUE)
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     ends = F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.transform(F.slice(ends, 1, F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("len"), part.alias("part"))
     item = "struct<start:int,kind:int,end:int,hash:bigint>"
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.when(
-                (F.length(x["part"]) >= least) & (F.lit(kind != "opaque") | (x["part"].rlike("[0-9]") & x["part"].rlike("[A-Za-z]"))),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (acc["at"] + x["gap"] + x["len"]).alias("end"), F.xxhash64(x["part"]).alias("hash")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
+    none = F.array().cast(f"array<{item}>")
+    ok = lambda x: (F.length(x["part"]) >= least) & (F.lit(kind != "opaque") | (x["part"].rlike("[0-9]") & x["part"].rlike("[A-Za-z]")))
+    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + x["gap"] + x["len"]).alias("end"), F.xxhash64(x["part"]).alias("hash"))
+    walk = lambda runs, start: F.aggregate(
+        runs,
+        F.struct(start.cast("int").alias("at"), none.alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.when(ok(x), F.concat(acc["out"], F.array(span(acc["at"], x)))).otherwise(acc["out"]).alias("out")),
         lambda acc: acc["out"],
-    )
+    )
+    # an array that grows by one is copied each time, so matches are walked in runs: their starts first, then each run by itself
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(pairs) - 1) / RUN), F.lit(0)).cast("int")), lambda i: F.slice(pairs, i * RUN + 1, RUN))
+    starts = F.aggregate(
+        F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda at, x: at + x["gap"] + x["len"])),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        lambda acc: acc["out"],
+    )
+    walked = F.flatten(F.transform(F.arrays_zip(runs.alias("run"), starts.alias("start")), lambda z: walk(z["run"], z["start"])))
     return F.when(F.col(GUARDS[kind][0]), walked).otherwise(F.array().cast(f"array<{item}>"))
 
 
@@ -76,7 +85,9 @@ def secret_spans(docs: DataFrame, owner: Column, repo: Column, id_col: str = "do
     repositories counted over the whole corpus: one that at most max_owners owners and max_repos
     repositories have looks live, one that more have is a copied example. Opaque runs outside base
     spans are added when they look live. A null text is empty; a null owner or repository counts as
-    one of its own; repeated rows are scanned each; other columns are not looked at.
+    one of its own; repeated rows are scanned each; other columns are not looked at. An empty table gives
+    no rows. ``owner`` and ``repo`` are expressions over the input: the query takes a document's source as
+    the owner and source and language together as the repository, as the tables name no others.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(F.concat(*[spans(F.col("text"), k) for k in BASE]))
