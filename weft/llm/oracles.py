@@ -46,7 +46,7 @@ regexp_replace(regexp_replace(HOST, '^www\.', ''), ':(80|443)$', '')
 """
 OP4 = r"""
 WITH p AS (
-  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
     array_to_string(list_sort([x for x in string_split(regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1), '&')
       if x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|sid|sessionid|fbclid|gclid)=')]), '&') AS query
@@ -58,7 +58,7 @@ r AS (
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-    coalesce(canonical <> '' AND canonical IN (SELECT canonical FROM c WHERE regexp_matches(url, '(://|\.)(spam-farm|cheap-pills|casino-win|adult-x|free-bets|ads-track)\.')), false) AS listed
+    coalesce(canonical <> '' AND canonical IN (SELECT canonical FROM c WHERE regexp_matches(regexp_extract(html, '<title>([^<]*)', 1), '(!!|\$\$\$|\*\*\*|%%%|;&amp;)')), false) AS listed
   FROM c
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM r

@@ -7,12 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import skew_join, stored
+
 #: A block is 8 words of 64 bits; a key sets one bit in each word.
 WORDS, BLOCK_BITS = 8, 512
-BITS_PER_KEY = 16
-#: The filter (72 bytes a block) and the list are broadcast up to so many rows; beyond, they shuffle with salt.
+#: About one in a hundred URLs that aren't listed passes; the exact join removes it.
+BITS_PER_KEY = 10
+#: The filter (72 bytes a block) and the list are broadcast up to so many rows; beyond, distinct URLs shuffle to them.
 BROADCAST_BLOCKS, BROADCAST_URLS = 65_536, 100_000
-SALT = 16
 
 HOST = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -69,14 +71,6 @@ def maybe_listed(key: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def _salted(left: DataFrame, right: DataFrame, key: str, small: bool) -> DataFrame:
-    """Left join to a side unique by key: broadcast when small, else with the left side salted against hot keys."""
-    if small:
-        return left.join(F.broadcast(right), key, "left")
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return left.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALT)).cast("int")).join(copies, [key, "__salt"], "left").drop("__salt")
-
-
 def url_filter(
     pages: DataFrame, listed: DataFrame, rules: Iterable[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", default: str = "allow", broadcast_blocks: int = BROADCAST_BLOCKS, broadcast_urls: int = BROADCAST_URLS
 ) -> DataFrame:
@@ -84,22 +78,35 @@ def url_filter(
 
     The verdict is the longest fitting rule's, else block for a listed canonical URL, else ``default``.
     A null URL or one without :// has empty host and path and is never listed. An empty list or table
-    works; repeated rows are each judged; other columns are not looked at, so their names may clash.
+    works; repeated rows are each judged; URLs may be of any length; other columns are not looked at, so
+    their names may clash.
+
+    The filter and the list are broadcast while they are small, and no row moves. Beyond that, pages are
+    folded map-side to distinct canonical URLs, which meet the filter's blocks in a shuffle that has no hot
+    key; only possible hits go on to the list, and what passed either comes back to the pages by counted
+    weight. Rows that the filter rejects take no part in a join by key.
     """
-    known = listed.select(canonical(F.col(listed_col)).alias("canonical")).where("canonical <> ''").distinct()
+    known = stored(listed.select(canonical(F.col(listed_col)).alias("canonical")).where("canonical <> ''").distinct(), "url-list")
     n = known.count()
     bloom, blocks = bloom_filter(known, "canonical", n)
+    bits, known = [f"w{i}" for i in range(WORDS)], known.withColumn("__in", F.lit(True))
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("__row"), host.alias("host"), path.alias("path"), canonical(F.col(url_col)).alias("canonical"))
-    probed = _salted(rows.withColumn("block", _block(F.col("canonical"), blocks)), bloom, "block", blocks <= broadcast_blocks)
-    probed = probed.withColumn("maybe", (F.col("canonical") != "") & maybe_listed(F.col("canonical"))).drop("block", *[f"w{i}" for i in range(WORDS)])
-    # only possible hits carry their key into the exact join
-    probed = probed.withColumn("probe", F.when(F.col("maybe"), F.col("canonical")))
-    exact = _salted(probed, known.select(F.col("canonical").alias("probe"), F.lit(True).alias("__in")), "probe", n <= broadcast_urls)
+    rows = pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path"), canonical(F.col(url_col)).alias("canonical"))
+    probe, passed = _block(F.col("canonical"), blocks), (F.col("canonical") != "") & maybe_listed(F.col("canonical"))
+    if blocks <= broadcast_blocks and n <= broadcast_urls:
+        probed = rows.withColumn("block", probe).join(F.broadcast(bloom), "block", "left").withColumn("maybe", passed).drop("block", *bits)
+        # only possible hits carry their key into the exact join
+        probed = probed.withColumn("probe", F.when(F.col("maybe"), F.col("canonical")))
+        found = probed.join(F.broadcast(known.withColumnRenamed("canonical", "probe")), "probe", "left")
+    else:
+        distinct = rows.where("canonical <> ''").groupBy("canonical").agg(F.count("*").alias("weight"))
+        hits = distinct.withColumn("block", probe).join(bloom, "block").where(passed).select("canonical", "weight", F.lit(True).alias("maybe"))
+        hits = stored(hits.join(known, "canonical", "left"), "url-hits")
+        found = skew_join(rows, hits, ["canonical"], "weight", hits.agg(F.sum("weight")).first()[0] or 1)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     is_listed = F.coalesce(F.col("__in"), F.lit(False))
-    return exact.select(
+    return found.select(
         F.col("__id").alias(id_col), "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(is_listed, F.lit("block")).otherwise(F.lit(default))).alias("verdict"),
-        "canonical", "maybe", is_listed.alias("listed"),
+        "canonical", F.coalesce("maybe", F.lit(False)).alias("maybe"), is_listed.alias("listed"),
     )
