@@ -17,33 +17,28 @@ SORTED = 1 << 19
 HOT, FAMILIES = 64, 8
 
 
-def suffix_order(data: np.ndarray, left: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes with ``length`` bytes left, in the order of (group, those bytes), and where runs of equal ones start.
+def suffix_order(data: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes with ``length`` bytes left, in the order of those bytes, and where runs of equal ones start.
 
     Prefix doubling: ranks by 8 bytes, then by twice as many, until the last step overlaps.
     """
     m = len(data)
-    wide = np.concatenate([data, np.zeros(8, np.uint8)])
     h = min(8, length)
+    eight = np.ndarray((m,), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     at = np.flatnonzero(left >= h).astype(np.int32)
-    word = np.zeros(len(at), U64)
-    for k in range(h):
-        word = word << U64(8) | wide[at + k]
-    order = np.lexsort((word, group[at]))
-    a, word = at[order], word[order]
-    new = np.concatenate([[True], (np.diff(word) != 0) | (np.diff(group[a]) != 0)])[: len(a)]
+    key = eight[at].astype(U64) >> U64(64 - 8 * h)
     rank = np.zeros(m, np.uint32)
-    rank[a] = np.cumsum(new)
-    while h < length:
+    while True:
+        order = np.argsort(key)
+        a, key = at[order], key[order]
+        new = heads(key)
+        rank[a] = np.cumsum(new, dtype=np.uint32)  # ranks of shorter rests are not looked at again
+        if h == length:
+            return a, new
         step = min(h, length - h)
         at = np.flatnonzero(left >= h + step).astype(np.int32)
         key = rank[at].astype(U64) << U64(32) | rank[at + step]
-        order = np.argsort(key)
-        a, key = at[order], key[order]
-        new = np.concatenate([[True], np.diff(key) != 0])[: len(a)]
-        rank[a] = np.cumsum(new)  # ranks of shorter rests are not looked at again
         h += step
-    return a, new
 
 
 def _nearest_smaller(place: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
@@ -82,8 +77,11 @@ def other_matches(order: np.ndarray, new: np.ndarray, place: np.ndarray, length:
     Those whose longest previous factor is that long, and those that are one for a later suffix: whose
     longest next factor is. The sort tells common prefixes up to ``length``, so factors end there.
     """
-    common, p = np.where(new, 0, length), place[order]
-    return (previous_factors(p, common, length) > 0) | (previous_factors(-p, common, length) > 0)
+    out = np.zeros(len(order), bool)
+    some = np.flatnonzero(~(new & np.append(new[1:], True)[: len(new)]))  # a run of one has no match
+    common, p = np.where(new[some], 0, length), place[order[some]]
+    out[some] = (previous_factors(p, common, length) > 0) | (previous_factors(-p, common, length) > 0)
+    return out
 
 
 class Surroundings(Round):
@@ -125,7 +123,10 @@ class Surroundings(Round):
 
 
 class Chunk:
-    """A chunk's texts and their anchors: of each string of ``length`` bytes, the 64-byte gram with the least hash."""
+    """A chunk's texts and their anchors: of each string of ``length`` bytes, the 64-byte gram with the least hash.
+
+    An anchor's surroundings, lo to hi, are the strings that have it.
+    """
 
     def __init__(self, table: pa.Table, length: int, anchor: int):
         self.ids, self.length, self.anchor = table["id"], length, anchor
@@ -160,12 +161,12 @@ class Chunk:
         back = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(back[: n - self.length + 1], front[self.reach : self.reach + n - self.length + 1])
         row = np.repeat(np.arange(j - i), np.diff(bound))[: len(least)]
-        inside = np.arange(len(least)) + self.length <= bound[row + 1]
-        pos = (least[inside] & U64(0xFFFFFFFF)).astype(np.int64)
-        pos = np.unique(pos[np.diff(pos, prepend=-1) != 0])
-        row = np.searchsorted(bound, pos, side="right") - 1
-        lo, hi = np.maximum(bound[row], pos - self.reach), np.minimum(bound[row + 1], pos + self.length)
-        return pos + base, gram[pos], lo + base, hi + base
+        start = np.flatnonzero(np.arange(len(least)) + self.length <= bound[row + 1])
+        pos = (least[start] & U64(0xFFFFFFFF)).astype(np.int64)
+        head = np.flatnonzero(heads(pos))  # the strings of an anchor start in a row
+        end = np.append(head[1:], len(pos))[: len(head)] - 1
+        pos = pos[head]
+        return pos + base, gram[pos], start[head] + base, start[end] + self.length + base
 
     def first(self) -> list[np.ndarray]:
         """The columns of Surroundings."""
@@ -222,6 +223,41 @@ def _told(part: int, kind: int, found: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"part": pa.array([part] * n, pa.int64()), "chunk": pa.array([f[0] for f in found], pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "blob": pa.array([f[1] for f in found], pa.binary())})
 
 
+def _candidates(data: np.ndarray, begin: np.ndarray, size: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """By entry, the first start and the end of its strings whose hash occurs again in its group; both 0 for none.
+
+    Equal strings have equal hashes, so no suffix outside these stretches has a common prefix of ``length``.
+    """
+    first, last = np.full(len(begin), np.iinfo(np.int64).max), np.full(len(begin), -1)
+    room = size - length + 1
+    total = np.cumsum(np.maximum(room, 0))
+    edge = np.append(np.flatnonzero(heads(group)), len(group))  # entries are in the order of their groups
+    i = 0
+    while i < len(edge) - 1:  # whole groups, about 2 * SORTED strings at a time
+        before = total[edge[i] - 1] if edge[i] else 0
+        j = max(i + 1, int(np.searchsorted(total[edge[1:] - 1], before + 2 * SORTED, side="right")))
+        some = np.arange(edge[i], edge[j])
+        some = some[room[some] > 0]
+        n = size[some]
+        row = np.repeat(np.arange(len(some)), n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        up, down = powers(len(inner) + 1)
+        sums_ = np.zeros(len(inner) + 1, U64)
+        np.cumsum(_BYTE[data[begin[some][row] + inner]] * up[:-1], out=sums_[1:])
+        at = np.flatnonzero(inner < room[some][row])
+        key = (mix((sums_[at + length] - sums_[at]) * down[at]) & ~U64(0xFFFFF)) ^ mix(group[some][row[at]].astype(U64))
+        order = np.argsort(key)
+        new = heads(key[order])
+        again = np.empty(len(order), bool)
+        again[order] = ~(new & np.append(new[1:], True))
+        at = at[again]
+        np.minimum.at(first, some[row[at]], inner[at])
+        np.maximum.at(last, some[row[at]], inner[at])
+        i = j
+    none = last < 0
+    return np.where(none, 0, first), np.where(none, 0, last + length)
+
+
 def _second_answers(length: int, anchor: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         blobs = [loads(b) for b in table["blob"].to_pylist()]
@@ -233,20 +269,26 @@ def _second_answers(length: int, anchor: int):
         begin = np.cumsum(size) - size
         mask = np.zeros((len(home), length - anchor + 1), np.uint8)
         by_home = np.argsort(home, kind="stable")
-        edges = np.append(np.flatnonzero(heads(home[by_home])), len(home))
-        group = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
-        total = np.concatenate([[0], np.cumsum(size[by_home])])[edges]
+        group = np.cumsum(heads(home[by_home])) - 1
+        some, own = by_home, group
+        alone = heads(own) & np.append(heads(own)[1:], True)  # what has a home of its own has no match
+        some, own = some[~alone], own[~alone]
+        start, end = _candidates(data, begin[some], size[some], own, length)
+        has = end > 0
+        some, own, start, end = some[has], own[has], start[has], end[has]
+        edges = np.append(np.flatnonzero(heads(own)), len(own))
+        total = np.concatenate([[0], np.cumsum(end - start)])[edges]
         i = 0
         while i < len(edges) - 1:  # whole homes, about SORTED bytes at a time
             j = max(i + 1, int(np.searchsorted(total, total[i] + SORTED, side="right")) - 1)
-            some = by_home[edges[i] : edges[j]]
-            own = group[edges[i] : edges[j]]
-            n = size[some]
-            row = np.repeat(np.arange(len(some), dtype=np.int32), n)
-            inner = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            order, new = suffix_order(data[np.repeat(begin[some], n) + inner], (n[row] - inner).astype(np.int32), own[row], length)
-            hit = order[other_matches(order, new, (src[some][row] << 40) + lo[some][row] + inner, length)]
-            mask[some[row[hit]], inner[hit]] = 1
+            s = slice(edges[i], edges[j])
+            n = (end - start)[s]
+            row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            left, inner = (n[row] - inner).astype(np.int32), (inner + start[s][row]).astype(np.int32)
+            order, new = suffix_order(data[begin[some[s]][row] + inner], left, length)
+            hit = order[other_matches(order, new, (src[some[s]][row] << 40) + lo[some[s]][row] + inner, length)]
+            mask[some[s][row[hit]], inner[hit]] = 1
             i = j
         chunks, found = table["chunk"].to_pylist(), []
         for c, p, q in zip(chunks, bound[:-1], bound[1:], strict=True):
