@@ -276,7 +276,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, block: int, broadcast_i
     n_nodes = nodes.count()
     buckets = stored(buckets, "near-buckets")
     joined = skew_join(members.drop("nth"), buckets, ["band"], "weight", max(1, n_nodes * BANDS), share=10_000)
-    groups = components(joined.where("leader IS NOT NULL AND leader <> node").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    # a node and its buckets' first nodes, at most one for each band, are all tied to the least of them: the same
+    # groups as by an edge for each bucket, but texts that share most buckets repeat each other's edges
+    star = joined.where("leader IS NOT NULL").groupBy("node").agg(F.collect_set("leader").alias("leaders"))
+    edges = star.select(F.explode(F.array_union("leaders", F.array("node"))).alias("a"), F.array_min("leaders").alias("b"))
+    groups = components(edges.where("a <> b").distinct())
     placed = _placed(nodes, members, buckets, groups, n_nodes, block)
     placed = stored(placed.join(nodes.drop("bands", "first_key"), "node"), "near-placed")
 
