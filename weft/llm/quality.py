@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from .common import held_out, training_sample
 from .hashing import batches_of
 
-#: At most so many labelled rows of each class are learned from (half for the dictionaries, half for the calibration).
+#: At most so many labelled rows of each class are learned from (for the dictionaries, and for the curve by halves).
 SAMPLE = 1500
 DICT_BYTES = 65_536
 #: Texts are compressed in pieces of so many bytes, all of them, so that a dictionary counts along the whole text.
-PIECE = 2048
+PIECE = 256
 LEVEL = 3
 #: A document is kept where its score reaches this.
 KEEP = 0.3
@@ -41,17 +41,14 @@ def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
         return b"".join(samples)[-size:] or b" "
 
 
-def measures(data: bytes, good, bad) -> tuple[float, float, float]:
-    """(bad - good) / (bad + good) of the compressed sizes, higher for text like the good one; how far both fell, and its square.
+def difference(data: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
+    """The normalised difference of the compressed sizes, summed over the pieces: (bad - good) / length, higher for text like the good one.
 
-    The second tells text that repeats itself: it packs small whatever the dictionary.
+    Only the dictionaries differ, so what any compressor would save, like plain repetition, cancels out. Taken as a
+    share of the text and not of its compressed size, it stays small for text that packs to nothing either way.
     """
-    g = b = 0
-    for p in pieces(data):
-        g += len(good.compress(p))
-        b += len(bad.compress(p))
-    ratio = math.log((g + b + 16) / (2 * len(data) + 16))
-    return (b - g) / (b + g), ratio, ratio * ratio
+    gap = sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces(data))
+    return gap / (len(data) + 16)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
@@ -76,26 +73,35 @@ def fit(good: list[str], bad: list[str], share_good: float) -> dict | float:
         return float(share_good)
     enc = lambda texts: [t.encode("utf-8", "surrogatepass") for t in texts]
     good, bad = enc(good), enc(bad)
-    model = {"good": dictionary(good[::2]), "bad": dictionary(bad[::2])}
-    g, b = _compressor(model["good"]), _compressor(model["bad"])
-    rest = good[1::2] + bad[1::2]
-    y = np.r_[np.ones(len(good[1::2])), np.zeros(len(bad[1::2]))]
-    x = np.array([measures(t, g, b) for t in rest])
+    pairs = [(dictionary(good[k::2]), dictionary(bad[k::2])) for k in (0, 1)]
+    x, y = [], []
+    for k, pair in enumerate(pairs):  # a text is scored by the dictionaries of the half that it isn't in
+        g, b = map(_compressor, pair)
+        for label, texts in ((1.0, good[1 - k :: 2]), (0.0, bad[1 - k :: 2])):
+            x += [[difference(t, g, b)] for t in texts]
+            y += [label] * len(texts)
+    x, y = np.array(x), np.array(y)
     weight = np.where(y == 1, share_good / y.sum(), (1 - share_good) / (len(y) - y.sum())) * len(y)
-    model["curve"] = calibrate(x, y, weight)
-    return model
+    return {"pairs": pairs, "curve": calibrate(x, y, weight)}
 
 
-def scores(texts: list[str | None], model: dict | float) -> list[float]:
+def scorer(model: dict | float) -> Callable[[list[str | None]], list[float]]:
+    """Texts to scores: the mean difference by the dictionaries of both halves, alone, through the calibrated curve. Compressors are built once."""
     if not isinstance(model, dict):
-        return [model] * len(texts)
-    g, b = _compressor(model["good"]), _compressor(model["bad"])
-    out = []
-    for t in texts:
-        x = measures((t or "").encode("utf-8", "surrogatepass"), g, b)
-        z = sum(w * v for w, v in zip(model["curve"], (*x, 1.0), strict=True))
-        out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-    return out
+        return lambda texts: [model] * len(texts)
+    pairs = [tuple(map(_compressor, pair)) for pair in model["pairs"]]
+    slope, base = model["curve"]
+
+    def run(texts: list[str | None]) -> list[float]:
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        z = [slope * sum(difference(t, g, b) for g, b in pairs) / len(pairs) + base for t in raw]
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in z]
+
+    return run
+
+
+def scores(texts: list[str | None], model: dict | float) -> list[float]:
+    return scorer(model)(texts)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
@@ -110,8 +116,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = fit(good, bad, share)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = scorer(model)
         for b in batches_of(batches, 2):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores(b.column(2).to_pylist(), model), pa.float64())], ["id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(told(b.column(2).to_pylist()), pa.float64())], ["id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(score, f"id {dict(docs.dtypes)[id_col]}, held_out boolean, score double")
@@ -119,12 +126,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """The input rows whose quality score reaches ``keep``, with all their columns, judged as by quality_scores()."""
+    """The input rows whose quality score reaches ``keep``, with all their columns, judged as by quality_scores().
+
+    A null text is scored as an empty one; repeated rows stay or go together; an empty table stays empty, and
+    without labels of both classes all rows stay or go by the share of label 1, or stay if there is none.
+    """
     good, bad, share = training_sample(docs, labels, id_col, text_col, label_col, sample)
     model, at = fit(good, bad, share), docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = scorer(model)
         for b in batches_of(batches, at):
-            yield b.filter(pa.array([s >= keep for s in scores(b.column(at).to_pylist(), model)], pa.bool_()))
+            yield b.filter(pa.array([s >= keep for s in told(b.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
