@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import release
+from .hashing import batches_of, release
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 64, 2048
@@ -31,8 +32,34 @@ _RUNS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 
 
+# The normaliser and the pre-tokenizer of a file whose words Words can take apart by itself.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+class Whole:
+    """Ids of texts by any tokenizer file, as it encodes them."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.encoder = Tokenizer.from_file(path)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def shrink(self) -> None:
+        """Nothing is kept."""
+
+
 class Words:
-    """Ids of texts by their words, each of which is encoded once.
+    """Ids of texts by their words, each of which is encoded once. Only for files with the normaliser and pre-tokenizer above.
 
     No token spans ASCII white space, so a text's ids are those of its words. Plain texts are taken
     apart further, which leaves fewer words: letter runs in lower case without the signs around them.
@@ -120,13 +147,21 @@ def _slices(text: str) -> list[str]:
     return [*out, text]
 
 
-_workers: dict[str, Words] = {}
+def encoder_of(path: str) -> Words | Whole:
+    """The faster encoder where the file's normaliser and pre-tokenizer are those that it knows, else the tokenizer itself."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    known = told.get("normalizer") == WORD_NORMALIZER and told.get("pre_tokenizer") == WORD_SPLIT and not told.get("truncation") and not told.get("padding")
+    return Words(path) if known and all(t["content"].startswith("<|") for t in told.get("added_tokens", [])) else Whole(path)
+
+
+_workers: dict[str, Words | Whole] = {}
 
 
 def word_encoder(path: str) -> Callable[[str], np.ndarray]:
     """Text to ids, with a cache of words that the worker keeps."""
     if path not in _workers:
-        _workers[path] = Words(path)
+        _workers[path] = encoder_of(path)
     return _workers[path].ids
 
 
@@ -140,98 +175,92 @@ def shrink_cache(path: str) -> None:
 class Packer:
     """Fills sequences from pieces. ``add`` gives the pieces of those that are full, ``close`` of the rest.
 
-    A piece is (item, start, length, sequence, offset). A document of max_tokens or more first fills whole
-    sequences by itself. What remains is packed by vector: the next item of a sequence is the one that
-    fits with the largest dot product of its demand and the room left, both as shares of the limits; when
-    none fits, the largest that is left is cut to fill the sequence. The last ones, and one that its
-    segments fill first, are cut to a power of two.
+    A piece is (item, start, length, sequence, offset). A document of max_tokens or more fills whole
+    sequences by itself as far as its loss-bearing tokens allow, or else begins them. What remains is
+    packed by vector: the next item of a sequence is the one that fits with the largest dot product of its
+    demand and the room left, both as shares of the limits; when none fits, the one that can give most is
+    cut to fill the sequence. The last ones, and those that their
+    segments or their loss-bearing tokens fill first, are cut to a power of two.
     """
 
     def __init__(self, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS):
         self.limit = np.array([tokens, segments, loss], float)
         self.tokens, self.segments, self.loss = tokens, segments, loss
-        self.item, self.start, self.length, self.prompt = (np.zeros(0, np.int64) for _ in range(4))
+        #: What waits, by slot: item, start, length, prompt, and of the length what bears loss. A slot of length 0 is used up.
+        self.item, self.start, self.length, self.prompt, self.need = (np.zeros(0, np.int64) for _ in range(5))
+        self.left = 0  # tokens that wait
         self.sequence = 0
 
-    def _loss(self, start, length, prompt):
-        return np.maximum(0, start + length - np.maximum(start, prompt))
-
-    def _fit(self, start: int, length: int, prompt: int, room: int) -> int:
-        """The longest head of a piece with at most ``room`` loss-bearing tokens."""
-        return min(length, max(0, prompt - start) + room)
-
     def add(self, items: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
         """items: (item, tokens, of these the leading ones without loss)."""
         out, rest = [], []
-        whole = min(self.tokens, self.loss)
         for item, n, prompt in items:
             start = 0
-            while n - start >= self.tokens:
-                take = self._fit(start, self.tokens, prompt, self.loss)
-                if take < self.tokens:
-                    take = 1 << (take.bit_length() - 1)
-                out.append((item, start, take, self.sequence, 0))
+            while n - start >= self.tokens and min(self.tokens, max(0, prompt - start) + self.loss) == self.tokens:
+                out.append((item, start, self.tokens, self.sequence, 0))
                 self.sequence += 1
-                start += take
+                start += self.tokens
             if start < n:
-                rest.append((item, start, n - start, prompt))
-        for name, x in zip(("item", "start", "length", "prompt"), np.array(rest, np.int64).reshape(-1, 4).T, strict=True):
-            setattr(self, name, np.append(getattr(self, name), x))
-        while self.length.sum() >= 2 * whole + self.tokens * 8 and len(self.item):
+                rest.append((item, start, n - start, prompt, n - max(start, min(prompt, n))))
+        kept = self.length > 0
+        for name, x in zip(("item", "start", "length", "prompt", "need"), np.array(rest, np.int64).reshape(-1, 5).T, strict=True):
+            setattr(self, name, np.concatenate([getattr(self, name)[kept], x]))
+        self.left = int(self.length.sum())
+        while self.left >= 10 * self.tokens:
             out += self._fill(last=False)
         return out
 
-    def _put(self, item: int, start: int, length: int, prompt: int) -> None:
-        for name, x in (("item", item), ("start", start), ("length", length), ("prompt", prompt)):
-            setattr(self, name, np.append(getattr(self, name), x))
-
-    def _drop(self, at: int) -> None:
-        for name in ("item", "start", "length", "prompt"):
-            setattr(self, name, np.delete(getattr(self, name), at))
+    def _move(self, at: int, by: int) -> None:
+        """Take the first ``by`` tokens of a slot, or give back so many if it is negative."""
+        self.start[at] += by
+        self.length[at] -= by
+        self.left -= by
+        start, length = int(self.start[at]), int(self.length[at])
+        self.need[at] = start + length - max(start, min(int(self.prompt[at]), start + length))
 
     def _fill(self, last: bool) -> list[tuple[int, int, int, int, int]]:
         tokens, segments, loss = self.tokens, self.segments, self.loss
-        if last and self.length.sum() < tokens:
-            tokens = 1 << (int(self.length.sum()).bit_length() - 1)
-        pieces, used = [], 0
-        while tokens and segments and len(self.item):
-            need = self._loss(self.start, self.length, self.prompt)
-            fits = (self.length <= tokens) & (need <= loss)
+        if last and self.left < tokens:
+            tokens = 1 << (self.left.bit_length() - 1)
+        pieces, used = [], 0  # pieces: slot, start, length
+        length, need = self.length, self.need
+        while tokens and segments and self.left:
+            fits = (length > 0) & (length <= tokens) & (need <= loss)
             if segments == 1:  # the last segment has to fill what is left, if any can
-                fits &= self.length == tokens
-            if fits.any():
-                room = np.array([tokens, segments, loss]) / self.limit
-                score = (self.length * (room[0] / self.limit[0]) + room[1] / self.limit[1] + need * (room[2] / self.limit[2])) * fits
-                at = int(np.argmax(np.where(fits, score, -1)))
-                take = int(self.length[at])
-            else:
-                at = int(np.argmax(self.length))
-                take = self._fit(int(self.start[at]), min(int(self.length[at]), tokens), int(self.prompt[at]), loss)
+                fits &= length == tokens
+            room = np.array([tokens, segments, loss]) / self.limit / self.limit
+            score = np.where(fits, length * room[0] + need * room[2] + room[1], -1.0)
+            at = int(score.argmax())
+            take = int(length[at])
+            if score[at] < 0 or (not pieces and length.max() >= tokens):
+                most = np.minimum(np.minimum(length, tokens), np.maximum(self.prompt - self.start, 0) + loss)
+                at = int(most.argmax())
+                take = int(most[at])
                 if take <= 0:
                     break
-            item, start, length, prompt = (int(x[at]) for x in (self.item, self.start, self.length, self.prompt))
-            pieces.append([item, start, take, prompt])
-            self._drop(at)
-            if take < length:
-                self._put(item, start + take, length - take, prompt)
+            before = int(need[at])
+            pieces.append([at, int(self.start[at]), take])
+            self._move(at, take)
             tokens, segments, used = tokens - take, segments - 1, used + take
-            loss -= int(self._loss(start, take, prompt))
+            loss -= before - int(need[at])
         keep = 1 << (used.bit_length() - 1)  # cut to a power of two; MAX_TOKENS is one
         while used > keep:
-            item, start, take, prompt = pieces.pop()
+            at, start, take = pieces.pop()
             cut = min(take, used - keep)
-            self._put(item, start + take - cut, cut, prompt)
+            self._move(at, -cut)
             used -= cut
             if take > cut:
-                pieces.append([item, start, take - cut, prompt])
-        offsets = np.cumsum([0, *[p[2] for p in pieces]])
-        out = [(p[0], p[1], p[2], self.sequence, int(o)) for p, o in zip(pieces, offsets, strict=False)]
+                pieces.append([at, start, take - cut])
+        out, offset = [], 0
+        for at, start, take in pieces:
+            out.append((int(self.item[at]), start, take, self.sequence, offset))
+            offset += take
         self.sequence += 1
         return out
 
     def close(self) -> list[tuple[int, int, int, int, int]]:
         out = []
-        while len(self.item):
+        while self.left:
             out += self._fill(last=True)
         return out
 
@@ -241,11 +270,13 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    A document is the ids of its prompt and text and then ``end_id``; a null text is empty, so that each
-    row has at least one id. Every id lies in one piece. A sequence holds at most max_tokens tokens (a
+    A document is the ids of its prompt and text, by any tokenizer file, and then ``end_id``; a null prompt
+    or text is empty, so that each row has at least one id. Tokens of the prompt bear no loss, all others
+    do. Every id lies in one piece. A sequence holds at most max_tokens tokens (a
     power of two), max_segments pieces and max_loss tokens after prompts; all sequences are full or a
     power of two long. Tasks pack what they read, without a shuffle, and hold POOL_TOKENS ids and one
-    document at a time. Rows may repeat, and ids may be null; other columns are not looked at.
+    document at a time. Rows may repeat, and ids may be null; other columns are not looked at. An empty
+    table gives no rows.
     """
     if max_tokens & (max_tokens - 1) or min(max_tokens, max_segments, max_loss) < 1:
         raise ValueError("max_tokens must be a power of two, and the limits positive")
@@ -274,7 +305,7 @@ def pack(
                     del held[p[0]]
 
         kind, waiting, tokens = pa.int64(), [], 0
-        for b in batches:
+        for b in batches_of(batches, 1):
             kind = b.schema.field(0).type
             keys, texts, prompts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             for key, text, prompt in zip(keys, texts, prompts, strict=True):

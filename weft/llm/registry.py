@@ -21,6 +21,8 @@ from .url_filter import url_filter
 
 #: The contract's rules: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Loss-bearing tokens of a sequence of up to 2048.
+MAX_LOSS = 2000
 #: The tables hold no list of URLs. op4 takes for one the URLs of pages whose title is junk, words with signs run on to
 #: them: what the pages hold decides what is listed, not their URLs. Where no title is so, the list is empty.
 JUNK_TITLE = r"(!!|\$\$\$|\*\*\*|%%%|;&amp;)"
@@ -33,6 +35,16 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The packing contract's rows: the first line of a text of several lines is its prompt, which bears no loss.
+
+    The tokenizer drops white space and joins nothing across it, so the ids of both parts are those of the whole text.
+    """
+    cut = F.instr("text", "\n")
+    parts = docs.select("doc_id", F.when(cut > 0, F.substring("text", F.lit(1), cut)).alias("prompt"), F.when(cut > 0, F.substr("text", cut + 1)).otherwise(F.col("text")).alias("text"))
+    return digests(pack(parts, tokenizer_path(), prompt_col="prompt", max_loss=MAX_LOSS))
+
+
 def digests(pieces: DataFrame) -> DataFrame:
     """The packing contract's columns of packed pieces."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -71,7 +83,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +96,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
+    from .pipeline import run
 
     found = {f.__name__: f for f in (op1_exact_dedup, op2_secrets, op3_decontaminate, op4_url_filter, op5_toxicity, op6_substring_dedup, op7_quality, op8_packing, op9_suffix_dedup, op10_ngram_join)}
-    return found | {"pipeline": corpus_pipeline.run}
+    return found | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,9 +32,11 @@ _GAP = np.arange(256) == 32
 
 
 def _pieces(data: bytes) -> list[bytes]:
+    """Pieces of at most PIECE bytes, cut where no n-gram lies; only one word of more bytes is cut within."""
     out = []
     while len(data) > PIECE:
-        cut = data.rfind(b" ", 1, PIECE) + 1 or PIECE
+        gap = np.flatnonzero(_FOLD[np.frombuffer(data, np.uint8, PIECE)] == 32)
+        cut = int(gap[-1]) + 1 if len(gap) else PIECE
         out.append(data[:cut])
         data = data[cut:]
     return [*out, data]
