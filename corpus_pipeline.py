@@ -1,68 +1,5 @@
-"""The corpus pipeline: documents through quality, exact and near duplicates, benchmark leaks and packing."""
+"""The corpus pipeline's stages, as its drivers look for them here; see weft.llm.pipeline."""
 
-from __future__ import annotations
+from weft.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from weft.llm.common import stored, table
-from weft.llm.decontaminate import without_leaks
-from weft.llm.exact_dedup import exact_filter
-from weft.llm.ngram_join import near_filter
-from weft.llm.packing import pack
-from weft.llm.quality import quality_filter
-from weft.llm.registry import digests, tokenizer_path
-
-
-#: Rows in a batch between Spark and Python. Spark's own 10,000 rows of long text hold tens of MB in each task, on both sides.
-BATCH_ROWS = 1000
-
-
-def _lean(spark: SparkSession) -> None:
-    """Ask for smaller Arrow batches, unless the session sets its own number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    _lean(spark)
-    return quality_filter(docs, table(spark, sf_dir, "labels"))
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with the same text but for white space."""
-    _lean(spark)
-    return exact_filter(docs)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates."""
-    _lean(spark)
-    return near_filter(docs)
-
-
-def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    _lean(spark)
-    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, in sequences."""
-    _lean(spark)
-    return digests(pack(docs, tokenizer_path()))
-
-
-STAGES = [("quality", quality), ("exact_dedup", exact), ("ngram_join", near), ("decontaminate", leaks), ("packing", packing)]
-
-#: Its first stage is a trained classifier, which SQL can't express; tests hold each stage against its operator.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
