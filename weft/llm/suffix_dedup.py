@@ -233,9 +233,9 @@ def _candidates(data: np.ndarray, begin: np.ndarray, size: np.ndarray, group: np
     total = np.cumsum(np.maximum(room, 0))
     edge = np.append(np.flatnonzero(heads(group)), len(group))  # entries are in the order of their groups
     i = 0
-    while i < len(edge) - 1:  # whole groups, about 2 * SORTED strings at a time
+    while i < len(edge) - 1:  # whole groups, about SORTED / 2 strings at a time
         before = total[edge[i] - 1] if edge[i] else 0
-        j = max(i + 1, int(np.searchsorted(total[edge[1:] - 1], before + 2 * SORTED, side="right")))
+        j = max(i + 1, int(np.searchsorted(total[edge[1:] - 1], before + SORTED // 2, side="right")))
         some = np.arange(edge[i], edge[j])
         some = some[room[some] > 0]
         n = size[some]
