@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -133,3 +134,26 @@ def test_products_and_unions_against_plain_python(spark, a, b):
     assert got(x.mxm(y)) == sorted((*k, v) for k, v in product.items())
     union = {k: a.get(k, 0) + b.get(k, 0) for k in {*a, *b}}
     assert got(x + y) == sorted((*k, v) for k, v in union.items())
+
+
+def test_products_by_tiles(spark):
+    rnd = np.random.default_rng(3)
+    for n, m, k, top, tile in ((5, 7, 6, 3, 4), (40, 30, 50, 9, 16), (6, 6, 6, 2**28, 8)):
+        x, y = (rnd.integers(-top, top, shape) * (rnd.random(shape) < 0.4) for shape in ((n, m), (m, k)))
+        a, b = (SparseMatrix(spark.createDataFrame([(int(i), int(j), int(z[i, j])) for i, j in zip(*np.nonzero(z), strict=True)] + [(0, 0, 0)] * int(z[0, 0] == 0), "row long, col long, val long"), *z.shape) for z in (x, y))
+        assert a.mxm_tiled(b, tile).equals(a.mxm(b)) and a.product(b, dense_from=0).equals(a.mxm(b)) and a.product(b, dense_from=10**9).equals(a.mxm(b))
+        assert a.flops(b) == sum(int(c) * int(r) for c, r in zip(((x != 0) | ((np.arange(n) == 0)[:, None] & (np.arange(m) == 0))).sum(0), ((y != 0) | ((np.arange(m) == 0)[:, None] & (np.arange(k) == 0))).sum(1), strict=True))
+    with pytest.raises(ValueError):
+        a.mxm_tiled(SparseMatrix(b.df, 9, 9))
+    large = SparseMatrix(spark.createDataFrame([(0, 0, 2**40)], "row long, col long, val long"), 1, 1)
+    for product in (large.mxm, large.mxm_tiled):
+        with pytest.raises(Exception, match=r"(?i)overflow|too (big|large)"):
+            product(large).df.collect()
+
+
+def test_min_plus_stops_at_both_ends(spark):
+    low, top = -(2**63), 2**63 - 1
+    a = SparseMatrix(spark.createDataFrame([(0, 0, low), (1, 0, top - 1), (2, 0, 5)], "row long, col long, val long"), 3, 1)
+    b = SparseMatrix(spark.createDataFrame([(0, 0, -7), (0, 1, 9), (0, 2, top)], "row long, col long, val long"), 1, 3)
+    got = {(r.row, r.col): r.val for r in a.mxm(b, "min_plus").df.collect()}
+    assert got == {(0, 0): low, (0, 1): low + 9, (0, 2): top, (1, 0): top - 8, (1, 1): top, (1, 2): top, (2, 0): -2, (2, 1): 14, (2, 2): top}

@@ -76,3 +76,45 @@ def test_patterns_have_to_connect():
     with pytest.raises(ValueError):
         program_of("x", parse_pattern("?1 3 5 . ?2 3 ?4"))
     assert len(PATTERNS) == 7
+
+
+def test_steps_are_reported_and_stop_where_nothing_is_left(spark, sf):
+    from weft.sources.tables import graph
+
+    edges_ = graph(spark, sf).cache()
+    plan = compile_program(pattern_program("l3_empty"), edges_, count_steps=True)
+    program = parse(pattern_program("l3_empty"))
+    assert plan.stopped and plan.nnz[-1] == 0 and len(plan.steps) < len(program.steps)
+    assert [s[0] for s in plan.steps] == [s.line for s in program.steps[: len(plan.steps)]] and all(s[2] >= 0 for s in plan.steps)
+    assert plan.bindings.columns == compile_program(program, edges_).bindings.columns and plan.count() == 0
+    plan.free()
+    full = compile_program(pattern_program("l1_triangle"), edges_, count_steps=True)
+    assert not full.stopped and full.count() == 9 and len(full.steps) == len(parse(pattern_program("l1_triangle")).steps)
+    full.free()
+    # a matrix that is made anew later, or that the result doesn't use, stops nothing
+    text = HEAD + "m_1_0 = G ⊗ I^99*1\nm_1_0 = G ⊗ I^1*2" + MID + "join%m_1_0"
+    again = compile_program(text, edges(spark, POSTER), count_steps=True)
+    assert again.nnz == [0, 1] and not again.stopped and again.count() == 1
+    edges_.unpersist()
+
+
+def test_runner(spark, sf, tmp_path):
+    from weft import run
+    from weft.operators.matrix import SparseMatrix
+    from weft.sources.binary import write_edges
+    from weft.sources.tables import graph
+    from weft.sources.text import write_mtx
+
+    g = graph(spark, sf)
+    write_edges(SparseMatrix(g, 1 << 26, 1 << 26), str(tmp_path / "g"))
+    (tmp_path / "q").write_text(pattern_program("l1_triangle"))
+    said = []
+    for more in ([], ["--repeat", "2"], ["--steps"]):
+        out = run.main([str(tmp_path / "g"), str(tmp_path / "q"), *more], spark, said.append)
+        assert [r.rows for r in out] == [9] * (2 if "--repeat" in more else 1)
+    assert any("imbalance" in x for x in said) and any("entries, " in x and x.startswith("  m_") for x in said)
+    small = SparseMatrix(edges(spark, POSTER), 5, 5)
+    write_mtx(small, str(tmp_path / "p.mtx"))
+    (tmp_path / "h").write_text(program_of("two hops", [Edge(1, 2, "1"), Edge("2", 3, "1")]))
+    for more in ([], ["--relabel", "5"]):
+        assert [r.rows for r in run.main([str(tmp_path / "p.mtx"), str(tmp_path / "h"), *more], spark, said.append)] == [1]

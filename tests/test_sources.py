@@ -93,6 +93,66 @@ def test_kronecker_and_search(spark):
     assert sum(validate(a, wrong, source).values()) > 0
 
 
+def test_kronecker_quadrants(spark):
+    """The first bit of unscrambled edges falls in each quadrant as often as it should."""
+    n = 16 << 11
+    got = {(r[0], r[1]): r[2] / n for r in generate.kronecker(spark, 11, scramble=False).selectExpr("src >= 1024 AS s", "dst >= 1024 AS d").groupBy("s", "d").count().collect()}
+    for place, share in (((False, False), generate.A), ((False, True), generate.B), ((True, False), generate.C), ((True, True), 1 - generate.A - generate.B - generate.C)):
+        assert abs(got[place] - share) < 0.015
+
+
+def test_matrix_market_arrays(spark, tmp_path):
+    p = tmp_path / "a.mtx"
+    p.write_text("%%MatrixMarket matrix array real general\n% note\n2 3\n1\n2\n3\n4\n5\n0\n")
+    assert got(text.read_mtx(spark, str(p))) == [(0, 0, 1.0), (0, 1, 3.0), (0, 2, 5.0), (1, 0, 2.0), (1, 1, 4.0), (1, 2, 0.0)]
+    n = 9
+    for symmetry, first in (("symmetric", 0), ("skew-symmetric", 1)):
+        places = [(i, j) for j in range(n) for i in range(j + first, n)]
+        p.write_text("\n".join([f"%%MatrixMarket matrix array integer {symmetry}", f"{n} {n}", *[str(100 * i + j + 1) for i, j in places]]) + "\n")
+        sign = 1 if symmetry == "symmetric" else -1
+        want = sorted({*((i, j, 100 * i + j + 1) for i, j in places), *((j, i, sign * (100 * i + j + 1)) for i, j in places if i != j)})
+        assert got(text.read_mtx(spark, str(p))) == want
+    p.write_text("%%MatrixMarket matrix array pattern general\n1 1\n1\n")
+    with pytest.raises(ValueError):
+        text.read_mtx(spark, str(p))
+
+
+def test_parts_follow_each_other(spark, tmp_path):
+    m = SparseMatrix(spark.range(500).selectExpr("id AS row", "id * 7 % 500 AS col", "id AS val").repartition(6), 500, 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few lines are one part
+    try:
+        text.write_mtx(m, str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    text.write_mtx(m, str(tmp_path / "one"), single=True)
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1 < len(list((tmp_path / "parts").glob("part-*")))
+    for name in ("parts", "one"):
+        assert text.read_mtx(spark, str(tmp_path / name)).equals(m)
+        lines = "".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*"))).split("\n")
+        assert lines[0].startswith("%%MatrixMarket") and lines[1] == "500 500 500" and lines[2] == "1 1 0"
+
+
+def test_relabelled_and_binary_writers(spark, tmp_path):
+    m = SparseMatrix(spark.createDataFrame([(0, 1, 5), (2, 0, -3), (1, 1, 7)], "row long, col long, val long").repartition(2), 4, 4)
+    new, names = generate.relabelled(m, 9)
+    name = {r.id: r.new for r in names.collect()}
+    assert sorted(name.values()) == [0, 1, 2, 3] and got(new) == sorted((name[r], name[c], v) for r, c, v in got(m))
+    assert binary.write_hkdt(m, str(tmp_path / "h"), "<i8") == 3 and binary.read_hkdt(spark, str(tmp_path / "h"), "<i8").equals(m)
+    edges = spark.createDataFrame([(1, 2), (4294967295, 0), (1, 2)], "src long, dst long")
+    assert binary.write_edge_list(edges, f"file://{tmp_path}/e") == 3
+    assert sorted(map(tuple, binary.read_edge_list(spark, str(tmp_path / "e")).collect())) == [(1, 2), (1, 2), (4294967295, 0)]
+    with pytest.raises(Exception, match="unsigned"):
+        binary.write_edge_list(spark.createDataFrame([(-1, 2)], "src long, dst long"), str(tmp_path / "bad"))
+
+
+def test_a_hot_predicate_is_many_files(spark, tmp_path):
+    m = SparseMatrix(spark.range(2000).selectExpr("id AS row", "id % 7 AS col", "CASE WHEN id % 10 = 0 THEN 3 ELSE 17 END AS val"), 2000, 7)
+    binary.write_edges(m, str(tmp_path / "t"), file_rows=100)
+    assert len(list((tmp_path / "t" / "val=17").glob("*.parquet"))) > 10
+    back = binary.read_edges(spark, str(tmp_path / "t"), 2000, 7)
+    assert back.equals(m)
+
+
 def test_scramble_is_a_bijection(spark):
     from pyspark.sql import functions as F
 

@@ -34,5 +34,5 @@ def test_bfs_over_the_whole_graph(spark, duck, sf):
         frontier = list(found)
     got = lambda name: {r[0]: r[1] for r in catalog.queries()[name](spark, sf).collect()}
     assert len(level) > 1000 and max(level.values()) > 2
-    assert got("bfs_graph_levels") == got("bfs_graph_bottom_up") == level
-    assert got("bfs_graph_parents") == parent
+    assert got("bfs_levels") == got("bfs_bottom_up") == level
+    assert got("bfs_parents") == parent

@@ -25,10 +25,10 @@ class Semiring:
 
 
 def _saturating(a: Column, b: Column) -> Column:
-    """a + b of longs, the largest long standing for infinity."""
-    top = F.lit(LONG_MAX)
+    """a + b of longs, the largest long standing for infinity; sums beyond either end stop there."""
+    top, low = F.lit(LONG_MAX), F.lit(-LONG_MAX - 1)
     x, y = a.cast("long"), b.cast("long")
-    return F.when((x == top) | (y == top) | (x > top - F.when(y == top, F.lit(0)).otherwise(F.greatest(y, F.lit(0)))), top).otherwise(F.try_add(x, y))
+    return F.when((x == top) | (y == top), top).otherwise(F.coalesce(F.try_add(x, y), F.when(x > 0, top).otherwise(low)))
 
 
 def _only(value: Column) -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.reductions import reduction
 from weft.functions.semirings import Semiring, semiring
 
+from .ranking import checkpointed
 from .vector import JOINS, DenseVector, SparseVector
 
 Unary = Callable[[Column], Column]
@@ -118,11 +121,16 @@ class SparseMatrix:
         return both.select("row", "col", F.when(F.col("here"), op(F.col("d"), F.col("val"))).otherwise(F.col("d")).alias("val"))
 
     # -- reductions -------------------------------------------------------------------------------
+    def reduce_sparse(self, dim: str, op, pre: Unary = lambda x: x) -> SparseVector:
+        """Of each row (``dim`` = row) or column that has entries, the reduction of their values."""
+        agg, _ = reduction(op)
+        out = self.df.groupBy(F.col(_dim(dim)).alias("idx")).agg(agg(pre(F.col("val"))).alias("val"))
+        return SparseVector(out, self.nrow if dim == "row" else self.ncol)
+
     def reduce(self, dim: str, op, pre: Unary = lambda x: x, identity=None) -> DenseVector:
         """Of each row (``dim`` = row) or column, the reduction of its values; the identity where it has none."""
-        agg, neutral = reduction(op)
-        out = self.df.groupBy(F.col(_dim(dim)).alias("idx")).agg(agg(pre(F.col("val"))).alias("val"))
-        return SparseVector(out, self.nrow if dim == "row" else self.ncol).to_dense(neutral if identity is None else identity)
+        _, neutral = reduction(op)
+        return self.reduce_sparse(dim, op, pre).to_dense(neutral if identity is None else identity)
 
     def masked_reduce(self, mask: SparseVector, op, pre: Unary = lambda x: x, exclude: bool = False, identity=None) -> DenseVector:
         """The reduction of columns over the rows that the mask has, or with ``exclude`` over the others."""
@@ -211,8 +219,40 @@ class SparseMatrix:
         met = a.join(b, "k").select("row", "col", s.multiply(F.col("a"), F.col("b")).alias("val"))
         return SparseMatrix(met.groupBy("row", "col").agg(s.add(F.col("val")).alias("val")), self.nrow, other.ncol)
 
+    def flops(self, other: SparseMatrix) -> int:
+        """How many pairs of entries the product multiplies: counted by the inner index, nothing is multiplied."""
+        a = self.df.groupBy(F.col("col").alias("k")).agg(F.count("*").alias("a"))
+        b = other.df.groupBy(F.col("row").alias("k")).agg(F.count("*").alias("b"))
+        return a.join(b, "k").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+
+    def mxm_tiled(self, other: SparseMatrix, tile: int = 512) -> SparseMatrix:
+        """The plus_times product of whole numbers by tiles of rows, inner index and columns.
+
+        A task multiplies one pair of tiles as small dense matrices, so pairs of entries never leave it, a dense
+        inner index is no hot key, and what is added up afterwards has one row for each place and inner tile.
+        Sums that may not fit in 53 bits are taken in integers, and one beyond a long is an error. Places where products meet are entries, also
+        if they cancel out.
+        """
+        if self.ncol != other.nrow:
+            raise ValueError(f"{self.nrow} x {self.ncol} times {other.nrow} x {other.ncol}")
+        left = _tiles(self.df, tile).select("ti", F.col("tj").alias("tk"), F.col("tile").alias("a"))
+        right = left.select(F.col("ti").alias("tk"), F.col("tk").alias("tj"), F.col("a").alias("b")) if other is self else _tiles(other.df, tile).select(F.col("ti").alias("tk"), "tj", F.col("tile").alias("b"))
+        met = left.join(right, "tk").select("ti", "tj", "a", "b")
+        # the pairs go to tasks of their own, not to those of the inner tile
+        met = met.repartition(F.col("ti"), F.col("tj"), F.xxhash64("a")).mapInArrow(_multiplied(tile), "row long, col long, val long")
+        return SparseMatrix(met.groupBy("row", "col").agg(F.sum("val").alias("val")), self.nrow, other.ncol)
+
+    def product(self, other: SparseMatrix, by: str | Semiring = "plus_times", dense_from: int = 50) -> SparseMatrix:
+        """The product by tiles where that is possible and the pairs to multiply, counted first, are over ``dense_from`` for each entry; else by a join."""
+        whole = all(dict(m.df.dtypes)["val"] in ("tinyint", "smallint", "int", "bigint") for m in (self, other))
+        if by != "plus_times" or not whole:
+            return self.mxm(other, by)
+        left = self._new(checkpointed(self.df))  # both are read again for each count
+        right = left if other is self else other._new(checkpointed(other.df))
+        return left.mxm_tiled(right) if left.flops(right) > dense_from * (left.nnz() + right.nnz()) / 2 else left.mxm(right, by)
+
     def square(self, by: str | Semiring = "plus_times") -> SparseMatrix:
-        return self.mxm(self, by)
+        return self.product(self, by)
 
     def mxm_add(self, b: SparseMatrix, c: SparseMatrix, by: str | Semiring = "plus_times") -> SparseMatrix:
         """self + b c."""
@@ -237,6 +277,11 @@ class SparseMatrix:
         count = F.approx_count_distinct("row") if approximate else F.count_distinct("row")
         return SparseVector(met.groupBy(F.col("col").alias("idx")).agg(count.alias("val")), other.ncol).to_dense(0)
 
+    def product_nnz_by_part(self, other: SparseMatrix, parts: int, approximate: bool = True) -> DataFrame:
+        """(part, nnz): the estimated entries of the product in each of ``parts`` runs of columns, to choose partitions by."""
+        by_column = self.product_nnz(other, approximate).df
+        return by_column.groupBy(F.floor(F.col("idx") * parts / max(1, other.ncol)).cast("long").alias("part")).agg(F.sum("val").alias("nnz"))
+
     # -- selection --------------------------------------------------------------------------------
     def kselect(self, k: int, columns: SparseVector | None = None, empty=None) -> DenseVector | SparseVector:
         """Each column's k-th largest value, or its least where it has fewer; of all columns or of those that a vector has."""
@@ -255,13 +300,14 @@ class SparseMatrix:
         at its select-th, and if what is left then has too few and too little, at its recover-th.
         """
         v = F.col("val")
-        ranked = self.df.withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("val"), "row")))
         above = F.when(v > hard, v)
-        stats = ranked.groupBy("col").agg(
-            F.count(above).alias("n"), F.coalesce(F.sum(above), F.lit(0.0)).alias("s"),
-            F.min(F.when(F.col("r") <= recover, v)).alias("rth"), F.min(F.when((F.col("r") <= select), v)).alias("sth"),
-        )
-        stats = stats.join(ranked.join(stats.select("col", "sth"), "col").where((v > hard) & (v >= F.col("sth"))).groupBy("col").agg(F.count("*").alias("n2"), F.sum("val").alias("s2")), "col", "left")
+        sums = self.df.groupBy("col").agg(F.count(above).alias("n"), F.coalesce(F.sum(above), F.lit(0.0)).alias("s"))
+        # only each column's largest are ranked, and cut down before they shuffle
+        ranked = self.df.withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("val"), "row"))).where(F.col("r") <= max(select, recover))
+        tops = ranked.groupBy("col").agg(F.min(F.when(F.col("r") <= recover, v)).alias("rth"), F.min(F.when(F.col("r") <= select, v)).alias("sth"))
+        stats = sums.join(tops, "col", "left")
+        over = self.df.join(tops.select("col", "sth"), "col").where((v > hard) & (v >= F.col("sth")))
+        stats = stats.join(over.groupBy("col").agg(F.count("*").alias("n2"), F.sum("val").alias("s2")), "col", "left")
         poor = (F.col("n") < recover) & (F.col("s") < recover_share)
         poor2 = (F.coalesce("n2", F.lit(0)) < recover) & (F.coalesce("s2", F.lit(0.0)) < recover_share)
         cut = F.when(poor, F.col("rth")).when(F.col("n") > select, F.when(poor2, F.col("rth")).otherwise(F.col("sth"))).otherwise(F.lit(hard))
@@ -269,7 +315,7 @@ class SparseMatrix:
 
     def mcl_step(self, other: SparseMatrix, hard: float, select: int, recover: int, recover_share: float) -> SparseMatrix:
         """The product, pruned by column: phases only bound memory elsewhere, here the aggregation spills."""
-        return self.mxm(other).prune_recover_select(hard, select, recover, recover_share)
+        return self.product(other).prune_recover_select(hard, select, recover, recover_share)
 
     # -- indexing ---------------------------------------------------------------------------------
     def __getitem__(self, chosen: tuple[DenseVector, DenseVector]) -> SparseMatrix:
@@ -311,6 +357,44 @@ class SparseMatrix:
         self.df.unpersist()
 
 
+def _tiles(df: DataFrame, tile: int) -> DataFrame:
+    """(ti, tj, tile): each tile's entries as one blob of (row, col, val) within it."""
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        cols = [table[c].to_numpy() for c in ("row", "col", "val")]
+        blob = np.concatenate([(cols[0] % tile).astype("<i8"), (cols[1] % tile).astype("<i8"), cols[2].astype("<i8")]).tobytes()
+        return pa.table({"ti": pa.array([key[0].as_py()]), "tj": pa.array([key[1].as_py()]), "tile": pa.array([blob], pa.binary())})
+
+    at = lambda c: F.floor(F.col(c) / tile).cast("long")
+    return df.groupBy(at("row").alias("ti"), at("col").alias("tj")).applyInArrow(packed, "ti long, tj long, tile binary")
+
+
+def _multiplied(tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of tiles to the entries of their products."""
+
+    def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        row, col, val = np.frombuffer(blob, "<i8").reshape(3, -1)
+        dense, there = np.zeros((tile, tile), np.int64), np.zeros((tile, tile), np.float32)
+        dense[row, col], there[row, col] = val, 1
+        return dense, there
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ti, tj, left, right in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                (x, x_there), (y, y_there) = opened(left), opened(right)
+                row, col = np.nonzero(x_there @ y_there)
+                most = max(abs(int(x.max())), abs(int(x.min()))) * max(abs(int(y.max())), abs(int(y.min()))) * tile
+                if most < 2**53:
+                    val = (x.astype(float) @ y.astype(float)).astype(np.int64)[row, col]
+                elif most < 2**63:
+                    val = (x @ y)[row, col]
+                else:  # beyond a long an error is raised, as by the join
+                    val = (x.astype(object) @ y.astype(object))[row, col].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(row + ti * tile), pa.array(col + tj * tile), pa.array(val, pa.int64())], ["row", "col", "val"])
+
+    return run
+
+
 def merge_all(parts: list[SparseMatrix], by: str | Semiring = "plus_times") -> SparseMatrix:
     """Several matrices of one shape added by a semiring."""
     s, out = semiring(by), parts[0].df

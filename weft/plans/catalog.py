@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,13 @@ from weft.functions import functors as f
 from weft.functions.semirings import LONG_MAX
 from weft.operators import bfs as search
 from weft.operators.matrix import SparseMatrix, dense_reduce, merge_all
-from weft.operators.ranking import checkpointed
+from weft.operators.ranking import checkpointed, shared_dir
 from weft.operators.vector import DenseVector, SparseVector
 from weft.sources import tables as t
+from weft.sources.generate import EDGE_FACTOR, PRIME, A, B, C, drop_deleted, kronecker, permute_edges, rename_vertices
 
 from .compile import compile_program, literal_step, result
-from .patterns import PATTERNS, pattern_program, pattern_sql
+from .patterns import PATTERNS, parse_pattern, pattern_program, pattern_sql, program_of
 from .program import Diag, Result, Step
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,10 @@ _WITH = {
 _NEEDS = {"ss": ["os"], "sf": ["sn"], "sh": ["sn"]}
 
 
+def _with(names: list[str]) -> str:
+    return ", ".join(f"{n} AS MATERIALIZED ({_WITH[n]})" for n in dict.fromkeys(names))
+
+
 def _query(name: str, sql: str | None = None, uses: str = "") -> Callable[[Query], Query]:
     """Register a query; ``uses`` names the matrices that its SQL speaks of."""
 
@@ -46,8 +52,7 @@ def _query(name: str, sql: str | None = None, uses: str = "") -> Callable[[Query
         _QUERIES[name] = fn
         if sql is not None:
             wanted = [n for u in uses.split() for n in [*_NEEDS.get(u, []), u]]
-            parts = ", ".join(f"{n} AS ({_WITH[n]})" for n in dict.fromkeys(wanted))
-            _SQL[name] = f"WITH {parts} {sql}" if parts else sql
+            _SQL[name] = f"WITH {_with(wanted)} {sql}" if wanted else sql
         return fn
 
     return add
@@ -63,12 +68,32 @@ def _even(spark: SparkSession, d: str) -> SparseVector:
 
 # -- patterns ---------------------------------------------------------------------------------------
 for _name, _text in PATTERNS.items():
-    _query(f"bgp_{_name}", pattern_sql(_text, "g"), "g")(lambda spark, d, n=_name: compile_program(pattern_program(n), t.graph(spark, d)).bindings)
+    _query(f"bgp_{_name}", pattern_sql(_text, "g"), "g")(lambda spark, d, n=_name: compile_program(pattern_program(n), t.graph_table(spark, d)).bindings)
 
 
 @_query("bgp_l4_star_literal", pattern_sql(PATTERNS["l4_star"], "g"), "g")
 def _literal(spark, d):
-    return compile_program(pattern_program("l4_star"), t.graph(spark, d), reduce=True).bindings
+    return compile_program(pattern_program("l4_star"), t.graph_table(spark, d), reduce=True).bindings
+
+
+#: Two hops over a graph of nine edges, in full.
+_HOPS, _HAND = "?2 3 ?1 . 1 2 ?1", [(0, 0, 1), (0, 1, 2), (0, 4, 1), (1, 3, 2), (1, 4, 2), (2, 3, 3), (4, 2, 5), (4, 3, 5), (2, 1, 2)]
+
+
+@_query("bgp_hand_graph", f"WITH h(\"row\", \"col\", val) AS (VALUES {', '.join(map(str, _HAND))}) " + pattern_sql(" . ".join(reversed(_HOPS.split(" . "))), "h"))
+def _hand(spark, d):
+    edges = spark.createDataFrame(_HAND, "row long, col long, val int")
+    return compile_program(program_of("two hops", parse_pattern(" . ".join(reversed(_HOPS.split(" . "))))), edges).bindings
+
+
+@_query("bgp_l3_steps", """SELECT 4 AS steps, n = 0 AS stopped, n AS entries, 0 AS n_rows FROM (SELECT CAST(count(*) AS INTEGER) AS n FROM g WHERE val = 17 AND "col" = 60000009
+  AND "row" IN (SELECT "row" FROM g WHERE val = 12 AND "col" IN (SELECT "row" FROM g WHERE val = 17 AND "col" = 2))) x""", "g")
+def _steps_taken(spark, d):
+    """The empty pattern, step by step: it stops where a step leaves nothing."""
+    plan = compile_program(pattern_program("l3_empty"), t.graph_table(spark, d), count_steps=True)
+    out = spark.range(1).select(F.lit(len(plan.steps)).alias("steps"), F.lit(plan.stopped).alias("stopped"), F.lit(plan.nnz[-1]).alias("entries"), F.lit(plan.count()).alias("n_rows"))
+    plan.free()
+    return out
 
 
 _TYPE, _NATION = 'g.val = 17 AND g."col" = 60000002', 'g.val = 3 AND g."col" = 10000007'
@@ -97,15 +122,18 @@ def _diagonal(spark, d):
     return t.graph(spark, d).where("val = 14").select(F.col("row").alias("id")).distinct()
 
 
-@_query("dsl_times_then_match", 'SELECT "row", "col", 5 AS val FROM g WHERE 1 = 0', "g")
-def _mismatch(spark, d):
-    """A scaled matrix has no ones for a later ⊗ to match."""
+def _scaled(spark, d, factor: int) -> DataFrame:
     edges = t.graph(spark, d)
     made = {"m_1_0": literal_step(edges, {}, Step("S", "m_1_0", "⊗", constant=60000001, factor=17))}
-    made["m_1_0"] = literal_step(edges, made, Step("C", "m_1_0", "×", constant=30000004, factor=5))
+    made["m_1_0"] = literal_step(edges, made, Step("C", "m_1_0", "×", constant=30000004, factor=factor))
     return literal_step(edges, made, Step("L", "m_1_0", "⊗", diag=Diag("m_1_0", False, None)))
 
 
+# a later ⊗ matches the ones that a step has left: none if it scaled them
+for _factor, _name in ((5, "dsl_times_then_match"), (1, "dsl_match_ones")):
+    _query(_name, f'SELECT * FROM (SELECT "row", "col", {_factor} AS val FROM g WHERE val = 17 AND "col" = 60000001 AND "row" = 30000004) x WHERE val = 1', "g")(lambda spark, d, f=_factor: _scaled(spark, d, f))
+
+
 @_query("join_inner_2col", 'SELECT a."col" AS v0, a."row" AS v1, b."row" AS v2 FROM g a JOIN g b ON a."row" = b."col" WHERE a.val = 3 AND b.val = 9', "g")
 def _join2(spark, d):
     g = t.graph(spark, d)
@@ -156,9 +184,20 @@ def _dense_reduce(spark, d):
     return dense_reduce(t.shared_orders(spark, d).df, "row", "max")
 
 
+#: Vertices of graphs whose numbers are keys of the tables.
+_N = 1 << 26
+
+
+def _part_edges(spark: SparkSession, d: str) -> DataFrame:
+    """An edge for each line item, from its part to its supplier."""
+    return t.table(spark, d, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst"))
+
+
 _mat("mat_from_vectors_max", lambda s, d: SparseMatrix.from_vectors(t.supplier_nations(s, d), t.supplier_nations(s, d).apply(lambda v: v % 3), DenseVector.iota(s, t.supplier_nations(s, d).length), 25, 3, "max"), 'SELECT val AS "row", val % 3 AS "col", max(idx) AS val FROM sn GROUP BY 1, 2', "sn")
 _mat("mat_from_vectors_scalar", lambda s, d: SparseMatrix.from_vectors(t.supplier_nations(s, d), t.supplier_nations(s, d).apply(lambda v: v % 3), 1, 25, 3, "sum"), 'SELECT val AS "row", val % 3 AS "col", CAST(count(*) AS BIGINT) AS val FROM sn GROUP BY 1, 2', "sn")
-_mat("mat_from_edges", lambda s, d: SparseMatrix.from_edges(t.table(s, d, "lineitem").select((F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst")), 50, remove_loops=True), 'SELECT l_partkey % 50 AS "row", l_suppkey % 50 AS "col", count(*) AS val FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50 GROUP BY 1, 2', "")
+_mat("mat_from_edges", lambda s, d: SparseMatrix.from_edges(_part_edges(s, d), _N, remove_loops=True), 'SELECT l_partkey AS "row", l_suppkey AS "col", count(*) AS val FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2', "")
+_mat("mat_from_edges_bool", lambda s, d: SparseMatrix.from_edges(_part_edges(s, d), _N, count=False), 'SELECT DISTINCT l_partkey AS "row", l_suppkey AS "col", true AS val FROM lineitem', "")
+_query("drop_deleted", "SELECT l_partkey - 100 AS src, l_suppkey - 3 AS dst, count(*) AS n FROM lineitem WHERE l_partkey >= 100 AND l_suppkey >= 3 GROUP BY 1, 2")(lambda s, d: drop_deleted(_part_edges(s, d).select((F.col("src") - 100).alias("src"), (F.col("dst") - 3).alias("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 # -- reductions -------------------------------------------------------------------------------------
 for _op, _agg in {"sum": "CAST(sum(val) AS BIGINT)", "min": "min(val)", "max": "max(val)"}.items():
@@ -176,7 +215,14 @@ _query("mat_bandwidth", 'SELECT coalesce(max("col" - "row"), -1) AS bandwidth FR
 _query("mat_profile", 'SELECT CAST(sum(coalesce(i - m, 1)) AS BIGINT) AS profile FROM (SELECT i FROM n_s, range(n) x(i)) LEFT JOIN (SELECT "col", min("row") AS m FROM ss WHERE "row" <= "col" GROUP BY 1) ON "col" = i', "ss n_s")(lambda s, d: t.shared_orders(s, d).profile())
 _query("mat_limits", 'SELECT min("row") AS min_row, max("row") AS max_row, min("col") AS min_col, max("col") AS max_col FROM os', "os")(lambda s, d: t.orders_suppliers(s, d).limits())
 _query("mat_load_imbalance")(lambda s, d: t.orders_suppliers(s, d).load_imbalance())
-_query("mat_equals", "SELECT true AS same", "")(lambda s, d: s.range(1).select(F.lit(t.shared_orders(s, d).equals(t.shared_orders(s, d).transpose())).alias("same")))
+_SAME = 'SELECT count(*) = 0 AS same FROM (SELECT * FROM ss) a FULL JOIN (SELECT "col" AS "row", "row" AS "col", {} AS val FROM ss) b ON a."row" = b."row" AND a."col" = b."col" WHERE a.val IS DISTINCT FROM b.val'
+for _name, _change in (("mat_equals", lambda v: v), ("mat_equals_not", lambda v: F.when(v == 1, 2).otherwise(v))):
+    _query(_name, _SAME.format("val" if _name == "mat_equals" else "CASE WHEN val = 1 THEN 2 ELSE val END"), "ss")(lambda s, d, f=_change: s.range(1).select(F.lit(t.shared_orders(s, d).equals(t.shared_orders(s, d).transpose().apply(f))).alias("same")))
+for _name, _change, _other in (("vec_equals", lambda v: v, "val"), ("vec_equals_not", lambda v: F.when(v == 3, 4).otherwise(v), "CASE WHEN val = 3 THEN 4 ELSE val END")):
+    _query(_name, f"SELECT count(*) = 0 AS same FROM sn WHERE val <> {_other}", "sn")(lambda s, d, f=_change: s.range(1).select(F.lit(t.supplier_nations(s, d).equals(t.supplier_nations(s, d).apply(f))).alias("same")))
+_mat("mat_reduce_col_prod", lambda s, d: t.suppliers_parts(s, d).reduce("col", "prod"), 'SELECT p_partkey AS idx, coalesce(v, 1.0) AS val FROM part LEFT JOIN (SELECT "col", product(val) AS v FROM sp GROUP BY 1) ON "col" = p_partkey', "sp")
+_mat("mat_reduce_sparse", lambda s, d: t.suppliers_parts(s, d).prune(lambda v: v < 7).reduce_sparse("col", "sum"), 'SELECT "col" AS idx, CAST(sum(val) AS BIGINT) AS val FROM sp WHERE NOT val < 7 GROUP BY 1', "sp")
+_query("mat_product_nnz_by_part", 'SELECT CAST(floor("col" * 4 / n) AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS nnz FROM ss, n_s GROUP BY 1', "ss n_s")(lambda s, d: t.orders_suppliers(s, d).transpose().product_nnz_by_part(t.orders_suppliers(s, d), 4, approximate=False))
 _mat("mat_product_nnz", lambda s, d: t.orders_suppliers(s, d).transpose().product_nnz(t.orders_suppliers(s, d)), 'SELECT i AS idx, coalesce(v, 0) AS val FROM (SELECT i FROM n_s, range(n) x(i)) LEFT JOIN (SELECT "col", count(*) AS v FROM ss GROUP BY 1) ON "col" = i', "ss n_s")
 
 # -- elementwise ------------------------------------------------------------------------------------
@@ -209,8 +255,9 @@ for _ring, _v in {
     _mat(f"mxm_{_ring}", lambda s, d, ring=_ring: t.orders_suppliers(s, d).transpose().mxm(t.orders_suppliers(s, d), ring), _M.format(_v), "os")
 _mat("mxm_copy_2nd", lambda s, d: t.orders_suppliers(s, d).mxm(SparseMatrix(t.supplier_nations(s, d).df.select(F.col("idx").alias("row"), F.col("idx").alias("col"), "val"), t.supplier_nations(s, d).length, t.supplier_nations(s, d).length), "copy_2nd"), 'SELECT "row", "col", sn.val FROM os JOIN sn ON "col" = idx', "os sn")
 _mat("mxm_copy_1st", lambda s, d: t.orders_suppliers(s, d).mxm(SparseMatrix(t.supplier_nations(s, d).df.select(F.col("idx").alias("row"), F.col("idx").alias("col"), "val"), t.supplier_nations(s, d).length, t.supplier_nations(s, d).length), "copy_1st"), 'SELECT * FROM os', "os")
-_mat("mxm_square", lambda s, d: t.shared_orders(s, d).prune(lambda v: v < 3).square(), 'SELECT a."row", b."col", CAST(sum(a.val * b.val) AS BIGINT) AS val FROM ss a JOIN ss b ON a."col" = b."row" WHERE NOT a.val < 3 AND NOT b.val < 3 GROUP BY 1, 2', "ss")
-_mat("mxm_abt", lambda s, d: t.suppliers_parts(s, d).prune(lambda v: v < 6).mxm(t.suppliers_parts(s, d).prune(lambda v: v < 6).transpose()), 'SELECT a."row", b."row" AS "col", CAST(sum(a.val * b.val) AS BIGINT) AS val FROM sp a JOIN sp b ON a."col" = b."col" WHERE NOT a.val < 6 AND NOT b.val < 6 GROUP BY 1, 2', "sp")
+_mat("mxm_square", lambda s, d: t.shared_orders(s, d).square(), 'SELECT a."row", b."col", CAST(sum(a.val * b.val) AS BIGINT) AS val FROM ss a JOIN ss b ON a."col" = b."row" GROUP BY 1, 2', "ss")
+_mat("mxm_tiled", lambda s, d: t.orders_suppliers(s, d).transpose().mxm_tiled(t.orders_suppliers(s, d), 64), _M.format("CAST(sum(a.val * b.val) AS BIGINT)"), "os")
+_mat("mxm_abt", lambda s, d: t.suppliers_parts(s, d).mxm(t.suppliers_parts(s, d).transpose()), 'SELECT a."row", b."row" AS "col", CAST(sum(a.val * b.val) AS BIGINT) AS val FROM sp a JOIN sp b ON a."col" = b."col" GROUP BY 1, 2', "sp")
 _mat("mxm_accumulate", lambda s, d: t.shared_orders(s, d).mxm_add(t.orders_suppliers(s, d).transpose(), t.orders_suppliers(s, d)), 'SELECT "row", "col", CAST(sum(val) AS BIGINT) AS val FROM (SELECT * FROM ss UNION ALL SELECT a."col", b."col", a.val * b.val FROM os a JOIN os b ON a."row" = b."row") GROUP BY 1, 2', "ss")
 _mat("mxv_dense_plus_times", lambda s, d: t.orders_suppliers(s, d).mxv(t.supplier_nations(s, d)), 'SELECT o_orderkey AS idx, coalesce(v, 0) AS val FROM orders LEFT JOIN (SELECT "row", CAST(sum(os.val * sn.val) AS BIGINT) AS v FROM os JOIN sn ON "col" = idx GROUP BY 1) ON "row" = o_orderkey', "os sn")
 _mat("mxv_dense_min_plus", lambda s, d: t.orders_suppliers(s, d).mxv(t.supplier_nations(s, d), "min_plus"), f'SELECT o_orderkey AS idx, coalesce(v, {LONG_MAX}) AS val FROM orders LEFT JOIN (SELECT "row", min(os.val + sn.val) AS v FROM os JOIN sn ON "col" = idx GROUP BY 1) ON "row" = o_orderkey', "os sn")
@@ -231,11 +278,11 @@ SELECT "row", "col", val FROM (
         min(val) FILTER (r <= 6) OVER (PARTITION BY "col") AS rth, min(val) FILTER (r <= 4) OVER (PARTITION BY "col") AS sth
       FROM (SELECT *, row_number() OVER (PARTITION BY "col" ORDER BY val DESC, "row") AS r FROM ss))))
 WHERE val >= cut""", "ss")
-_mat("mcl_step", lambda s, d: t.shared_orders(s, d).prune(lambda v: v < 4).mcl_step(t.shared_orders(s, d).prune(lambda v: v < 4), 50, 5, 0, 0.0), """
+_mat("mcl_step", lambda s, d: t.shared_orders(s, d).mcl_step(t.shared_orders(s, d), 50, 5, 0, 0.0), """
 SELECT "row", "col", val FROM (SELECT *, CASE WHEN n > 5 THEN sth ELSE 50 END AS cut FROM (
   SELECT *, count(*) FILTER (val > 50) OVER (PARTITION BY "col") AS n, min(val) FILTER (r <= 5) OVER (PARTITION BY "col") AS sth FROM (
     SELECT *, row_number() OVER (PARTITION BY "col" ORDER BY val DESC, "row") AS r FROM (
-      SELECT a."row", b."col", CAST(sum(a.val * b.val) AS BIGINT) AS val FROM ss a JOIN ss b ON a."col" = b."row" WHERE NOT a.val < 4 AND NOT b.val < 4 GROUP BY 1, 2))))
+      SELECT a."row", b."col", CAST(sum(a.val * b.val) AS BIGINT) AS val FROM ss a JOIN ss b ON a."col" = b."row" GROUP BY 1, 2))))
 WHERE val >= cut""", "ss")
 _mat("subsref", lambda s, d: t.shared_orders(s, d)[DenseVector.iota(s, 20, 5), DenseVector.iota(s, 10)], 'SELECT "row" - 5 AS "row", "col", val FROM ss WHERE "row" BETWEEN 5 AND 24 AND "col" < 10', "ss")
 _mat("subsref_permute", lambda s, d: t.shared_orders(s, d)[t.supplier_nations(s, d), t.supplier_nations(s, d)], 'SELECT r.idx AS "row", c.idx AS "col", ss.val FROM ss JOIN sn r ON "row" = r.val JOIN sn c ON "col" = c.val', "ss sn")
@@ -308,43 +355,49 @@ def _functors(spark, d):
 
 
 # -- search -----------------------------------------------------------------------------------------
-_BFS = """
-, e AS (SELECT "row", "col" FROM sparse WHERE "row" <> "col")
-, b(idx, level) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e."row", level + 1 FROM b JOIN e ON e."col" = b.idx WHERE level < 12)
-, l AS (SELECT idx, min(level) AS level FROM b GROUP BY 1)
-"""
-_SPARSE = "WITH RECURSIVE os AS ({os}), ss AS ({ss}), sparse AS (SELECT * FROM ss WHERE (\"row\" * 7 + \"col\" * 3 + \"row\" * \"col\") % 23 = 0)".format(os=_WITH["os"], ss=_WITH["ss"])
-
-
-def _sparse_graph(spark: SparkSession, d: str) -> SparseMatrix:
-    return t.shared_orders(spark, d).prune_indexed(lambda r, c, v: ((r * 7 + c * 3 + r * c) % 23 != 0) | (r == c))
-
-
-_query("bfs_levels", _SPARSE + _BFS + "SELECT * FROM l")(lambda s, d: search.bfs(_sparse_graph(s, d), 0).select("idx", "level"))
-_query("bfs_parents", _SPARSE + _BFS + 'SELECT l.idx, coalesce(min(p.idx), 0) AS parent FROM l LEFT JOIN e ON e."row" = l.idx LEFT JOIN l p ON p.idx = e."col" AND p.level + 1 = l.level GROUP BY l.idx')(lambda s, d: search.bfs(_sparse_graph(s, d), 0).select("idx", "parent"))
-_query("bfs_bottom_up", _SPARSE + _BFS + "SELECT * FROM l")(lambda s, d: search.bfs(_sparse_graph(s, d), 0, bottom_up=True).select("idx", "level"))
-
-
 def _both_ways(spark: SparkSession, d: str) -> SparseMatrix:
     """All edges of the graph, each in both directions; it is read again every round, so it is cut off from its plan once."""
     g = t.graph(spark, d).select("row", "col")
     both = g.unionByName(g.select(F.col("col").alias("row"), F.col("row").alias("col"))).distinct()
-    return SparseMatrix(checkpointed(both.withColumn("val", F.lit(1).cast("long"))), 1 << 26, 1 << 26)
+    return SparseMatrix(checkpointed(both.withColumn("val", F.lit(1).cast("long"))), _N, _N)
+
+
+#: Breadth-first from region 0: what is reached stays in the recursion's table under its key, so the search ends by itself.
+_BFS = f"""
+WITH RECURSIVE g AS MATERIALIZED ({t.GRAPH_SQL}),
+e AS MATERIALIZED (SELECT CAST("row" AS BIGINT) AS "row", CAST("col" AS BIGINT) AS "col" FROM g UNION SELECT "col", "row" FROM g),
+b(idx, level, parent) USING KEY (idx) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION SELECT e."row", min(b.level) + 1, min(e."col") FROM b JOIN e ON e."col" = b.idx WHERE NOT EXISTS (SELECT 1 FROM recurring.b AS r WHERE r.idx = e."row") GROUP BY e."row")
+"""
+_query("bfs_levels", _BFS + "SELECT idx, level FROM b")(lambda s, d: search.bfs(_both_ways(s, d), 0).select("idx", "level"))
+_query("bfs_parents", _BFS + "SELECT idx, parent FROM b")(lambda s, d: search.bfs(_both_ways(s, d), 0).select("idx", "parent"))
+_query("bfs_bottom_up", _BFS + "SELECT idx, level FROM b")(lambda s, d: search.bfs(_both_ways(s, d), 0, bottom_up=True).select("idx", "level"))
 
 
-#: Over the whole graph, from region 0. Their SQL would have to bound its recursion, so tests hold them against brute force.
-_query("bfs_graph_levels")(lambda s, d: search.bfs(_both_ways(s, d), 0).select("idx", "level"))
-_query("bfs_graph_parents")(lambda s, d: search.bfs(_both_ways(s, d), 0).select("idx", "parent"))
-_query("bfs_graph_bottom_up")(lambda s, d: search.bfs(_both_ways(s, d), 0, bottom_up=True).select("idx", "level"))
+@_query("bfs_validate", _BFS + """SELECT count(*) FILTER (idx <> 0 AND level <> 1) AS parent, count(*) FILTER (idx <> 0 AND NOT EXISTS (SELECT 1 FROM e WHERE e."row" = idx AND e."col" = 0)) AS edge,
+  0 AS level, 0 AS missed, 0 AS root FROM b""")
+def _validated(spark, d):
+    """A tree whose parents are all the source breaks two of the rules."""
+    a = _both_ways(spark, d)
+    tree = search.bfs(a, 0).withColumn("parent", F.lit(0).cast("long"))
+    return spark.createDataFrame([search.validate(a, tree, 0)], "parent long, edge long, level long, missed long, root long")
 
 
 # -- sources ----------------------------------------------------------------------------------------
 def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
+    return f"{shared_dir(spark)}/weft-io/{name}-{uuid.uuid4().hex}"
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/weft-io/{name}-{uuid.uuid4().hex}"
+
+def _lines(spark: SparkSession, name: str, head: list[str], body: DataFrame, order: list[str]) -> str:
+    """A text file's folder: some first lines, then those of a frame (value) in an order."""
+    from weft.sources.text import _write
+
+    kinds = dict(body.dtypes)
+    top = spark.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "o long, value string")
+    top = top.select("o", *[F.lit(None).cast(kinds[c]).alias(c) for c in order], "value")
+    _write(top.unionByName(body.select(F.lit(0).cast("long").alias("o"), *order, "value")), ["o", *order], path := _scratch(spark, name), False)
+    return path
 
 
 @_query("mtx_roundtrip", "SELECT * FROM os", "os")
@@ -365,11 +418,11 @@ def _tuples(spark, d):
     return m.df.join(name("row", "s"), "row").join(name("col", "o"), "col").select("s", "o", "val")
 
 
-@_query("encoded_triples", 'SELECT "row", "col", CAST(val AS BIGINT) AS val FROM g WHERE val = 3 OR val = 9', "g")
+@_query("encoded_triples", 'SELECT "row", "col", CAST(max(val) AS BIGINT) AS val FROM g GROUP BY 1, 2', "g")
 def _triples(spark, d):
     from weft.sources.text import read_encoded_triples
 
-    g = t.graph(spark, d).where("val = 3 OR val = 9")
+    g = t.graph(spark, d)
     g.select(F.concat(F.lit("<"), "row", F.lit("> <"), "val", F.lit("> <"), "col", F.lit("> ."))).write.text(path := _scratch(spark, "triples"))
     return read_encoded_triples(spark, path).df
 
@@ -390,19 +443,122 @@ def _edge_table(spark, d):
     return read_edges(spark, path, 1 << 26, 1 << 26).df.where("val = 12")
 
 
-@_query("kronecker")
-def _kronecker(spark, d):
-    from weft.sources.generate import kronecker
+@_query("mtx_symmetric", "SELECT * FROM ss", "ss")
+def _symmetric(spark, d):
+    from weft.sources.text import read_mtx
+
+    ss = t.shared_orders(spark, d)
+    low = ss.df.where("row >= col").withColumn("value", F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "val"))
+    head = ["%%MatrixMarket matrix coordinate integer symmetric", "% the lower triangle", f"{ss.nrow} {ss.ncol} {low.count()}"]
+    return read_mtx(spark, _lines(spark, "symmetric", head, low, ["row", "col"])).df
 
-    return kronecker(spark, 10)
 
+@_query("mtx_pattern", 'SELECT "row", "col", CAST(1 AS BIGINT) AS val FROM os', "os")
+def _pattern(spark, d):
+    from weft.sources.text import read_mtx, write_mtx
 
-@_query("rename_vertices", "SELECT CAST(count(*) AS BIGINT) AS edges, count(DISTINCT l_suppkey % 50) AS dsts FROM lineitem")
-def _rename(spark, d):
-    from weft.sources.generate import permute_edges, rename_vertices
+    write_mtx(t.orders_suppliers(spark, d).apply(lambda v: v > 0), path := _scratch(spark, "pattern"))
+    return read_mtx(spark, path).df
 
-    edges = t.table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst"))
-    return rename_vertices(permute_edges(edges), 50).agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("dsts"))
+
+@_query("mtx_real", 'SELECT "row", "col", val / 4.0 AS val FROM os', "os")
+def _real(spark, d):
+    from weft.sources.text import read_mtx, write_mtx
+
+    write_mtx(t.orders_suppliers(spark, d).apply(lambda v: v / F.lit(4.0)), path := _scratch(spark, "real"), single=True)
+    return read_mtx(spark, path).df
+
+
+@_query("mtx_array", 'SELECT idx AS "row", CAST(0 AS BIGINT) AS "col", val FROM sn UNION ALL SELECT idx, 1, idx * 3 FROM sn', "sn")
+def _dense(spark, d):
+    from weft.sources.text import read_mtx
+
+    sn = t.supplier_nations(spark, d)
+    body = sn.df.select(F.lit(0).alias("col"), "idx", F.col("val").cast("string").alias("value")).unionByName(sn.df.select(F.lit(1).alias("col"), "idx", (F.col("idx") * 3).cast("string").alias("value")))
+    return read_mtx(spark, _lines(spark, "array", ["%%MatrixMarket matrix array integer general", f"{sn.length} 2"], body, ["col", "idx"])).df
+
+
+@_query("mtx_relabelled", "SELECT * FROM ss", "ss")
+def _relabelled(spark, d):
+    """Under random numbers, and back by the names."""
+    from weft.sources.generate import relabelled
+
+    m, names = relabelled(t.shared_orders(spark, d), 3)
+    old = lambda c: names.select(F.col("new").alias(c), F.col("id").alias(f"old_{c}"))
+    return m.df.join(old("row"), "row").join(old("col"), "col").select(F.col("old_row").alias("row"), F.col("old_col").alias("col"), "val")
+
+
+@_query("legacy_triples", 'SELECT "row", "col", CAST(val AS DOUBLE) AS val FROM os', "os")
+def _legacy(spark, d):
+    from weft.sources.text import read_triples_text
+
+    m = t.orders_suppliers(spark, d)
+    body = m.df.withColumn("value", F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "val"))
+    return read_triples_text(spark, _lines(spark, "legacy", [f"{m.nrow} {m.ncol} 0"], body, ["row", "col"])).df
+
+
+@_query("csv_roundtrip", "SELECT * FROM os", "os")
+def _csv(spark, d):
+    from weft.sources.text import write_csv
+
+    write_csv(t.orders_suppliers(spark, d), path := _scratch(spark, "csv"))
+    return spark.read.schema("row long, col long, val long").csv(path)
+
+
+@_query("dense_vector_roundtrip", "SELECT i AS idx, CASE WHEN val < 5 THEN CAST(val AS DOUBLE) ELSE -1.0 END AS val FROM n_s, range(n) x(i) LEFT JOIN sn ON idx = i", "n_s sn")
+def _dense_vector(spark, d):
+    from weft.sources.text import read_dense_vector, write_vector
+
+    write_vector(t.first_nations(spark, d), path := _scratch(spark, "dense"))
+    return read_dense_vector(spark, path, default=-1.0).df
+
+
+@_query("hkdt_roundtrip", "SELECT * FROM os", "os")
+def _hkdt(spark, d):
+    from weft.sources.binary import read_hkdt, write_hkdt
+
+    write_hkdt(t.orders_suppliers(spark, d), path := _scratch(spark, "hkdt"), "<i8")
+    return read_hkdt(spark, path, "<i8").df
+
+
+@_query("edge_list_roundtrip", "SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def _edge_list(spark, d):
+    from weft.sources.binary import read_edge_list, write_edge_list
+
+    write_edge_list(_part_edges(spark, d), path := _scratch(spark, "pairs"))
+    return read_edge_list(spark, path).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def _kronecker_sql(scale: int, seed: int = 1) -> str:
+    """The generator's arithmetic, by edge and bit."""
+    edge = [int(x * PRIME) for x in (A, A + B, A + B + C)]
+    steps = [f"(id % {PRIME} * 69621 + k * 40692 + {seed * 48271 + 1}) % {PRIME}"]
+    for m in (16807, 39373):
+        steps += [f"(x * x + {m}) % {PRIME}", f"(x * {m} + id % {PRIME}) % {PRIME}"]
+    rows = f"SELECT CAST(i AS BIGINT) AS id, CAST(j AS BIGINT) AS k, CAST(0 AS BIGINT) AS x FROM range({EDGE_FACTOR << scale}) a(i), range({scale}) b(j)"
+    for step in [*steps, f"x * x % {PRIME}"]:
+        rows = f"SELECT id, k, {step} AS x FROM ({rows})"
+    bit = f"CAST(pow(2, {scale - 1} - k) AS BIGINT)"
+    down, right = f"x >= {edge[1]}", f"(x >= {edge[0]} AND x < {edge[1]}) OR x >= {edge[2]}"
+    rows = f"SELECT CAST(sum(CASE WHEN {down} THEN {bit} ELSE 0 END) AS BIGINT) AS src, CAST(sum(CASE WHEN {right} THEN {bit} ELSE 0 END) AS BIGINT) AS dst FROM ({rows}) GROUP BY id"
+    mask, shift = (1 << scale) - 1, max(1, scale // 2)
+    for k in (0x9E3779B1 + 2 * seed, 0x85EBCA6B):
+        rows = f"SELECT {', '.join(f'({c} * {(k | 1) & mask}) & {mask} AS {c}' for c in ('src', 'dst'))} FROM ({rows})"
+        rows = f"SELECT {', '.join(f'xor({c}, {c} >> {shift}) AS {c}' for c in ('src', 'dst'))} FROM ({rows})"
+    return rows
+
+
+_query("kronecker", _kronecker_sql(10))(lambda spark, d: kronecker(spark, 10))
+
+
+@_query("rename_vertices", """SELECT side, degree, count(*) AS n FROM (SELECT 'src' AS side, count(*) AS degree FROM lineitem GROUP BY l_partkey UNION ALL SELECT 'dst', count(*) FROM lineitem GROUP BY l_suppkey) GROUP BY 1, 2""")
+def _rename(spark, d):
+    """Under random names every vertex keeps its degree; the table of degrees says how many have each."""
+    edges = _part_edges(spark, d)
+    n = edges.agg(F.max(F.greatest("src", "dst"))).first()[0] + 1
+    new = rename_vertices(permute_edges(edges), n)
+    each = [new.groupBy(c).agg(F.count("*").alias("degree")).select(F.lit(c).alias("side"), "degree") for c in ("src", "dst")]
+    return each[0].unionByName(each[1]).groupBy("side", "degree").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Query]:

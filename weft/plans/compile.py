@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.ranking import checkpointed
+
 from .program import Program, Result, Step, parse, variables
 
 
 @dataclass
 class Plan:
-    """``bindings``: one column v<name> for each variable, in the order of names. ``nnz``: how many entries each step left, if asked for."""
+    """``bindings``: one column v<name> for each variable, in the order of names.
+
+    If asked for, ``nnz``: how many entries each step left, and ``steps``: of each step taken its line, entries and
+    seconds. ``stopped``: whether a step left nothing that the result needs, so that the others weren't taken.
+    """
 
     bindings: DataFrame | None
     matrices: dict[str, DataFrame]
     nnz: list[int] = field(default_factory=list)
+    steps: list[tuple[str, int, float]] = field(default_factory=list)
+    stopped: bool = False
     kept: list[DataFrame] = field(default_factory=list)
 
     def count(self) -> int:
@@ -109,29 +118,47 @@ def result(made: dict[str, DataFrame], results: list[Result]) -> DataFrame | Non
     return table
 
 
+def _needed(program: Program, at: int) -> bool:
+    """Whether the result is empty if step ``at`` leaves nothing: its matrix is in the result and isn't made anew later."""
+    target = program.steps[at].target
+    return any(r.matrix == target for r in program.results) and not any(s.kind == "S" and s.target == target for s in program.steps[at + 1 :])
+
+
 def compile_program(program: Program | str, edges: DataFrame, reduce: bool | None = None, count_steps: bool = False) -> Plan:
     """A program over an edge table.
 
     ``reduce``: take every step literally, as a chain of semijoins; False: one multiway join where
     can_join() allows; None: that too. Literal plans keep matrices that are used more than once
-    (Plan.free() lets go of them), and alone can count the entries after each step.
+    (Plan.free() lets go of them). ``count_steps`` takes the steps one by one, with their entries and
+    seconds in Plan.steps, and stops where one leaves nothing that the result needs.
     """
     program = parse(program) if isinstance(program, str) else program
     literal = bool(reduce) or count_steps or not can_join(program)
     made: dict[str, DataFrame] = {}
     plan = Plan(None, made)
     for at, step in enumerate(program.steps):
+        began = time.perf_counter()
         df = literal_step(edges, made, step) if literal else _joined_step(edges, made, step)
         if df is None:
             continue
         if literal:
             later = [*program.steps[at + 1 :]]
             uses = sum((s.diag is not None and s.diag.matrix == step.target) or (s.kind in "CLR" and s.target == step.target) for s in later)
-            if uses + any(r.matrix == step.target for r in program.results) > 1 or count_steps:
+            if count_steps:  # cut off, or each step's plan would hold those of all before
+                df = checkpointed(df)
+            elif uses + any(r.matrix == step.target for r in program.results) > 1:
                 df = df.persist()
                 plan.kept.append(df)
         made[step.target] = df
         if count_steps:
             plan.nnz.append(df.count())
-    plan.bindings = result(made, program.results)
+            plan.steps.append((step.line, plan.nnz[-1], time.perf_counter() - began))
+            if not plan.nnz[-1] and _needed(program, at):
+                plan.stopped = True
+                break
+    if plan.stopped:  # matrices that weren't made are as empty as the result
+        none = edges.sparkSession.createDataFrame([], "row long, col long, val int")
+        plan.bindings = result({r.matrix: none for r in program.results}, program.results)
+    else:
+        plan.bindings = result(made, program.results)
     return plan

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,33 @@ def read_hkdt(spark: SparkSession, path: str, value: str = "<f8", transpose: boo
     return m.transpose() if transpose else m
 
 
+def write_hkdt(matrix: SparseMatrix, path: str, value: str = "<f8") -> int:
+    """Files of (row, col, val) records after an HKDT header, one of each partition, into a new folder; how many entries."""
+    from pyarrow import fs
+
+    nrow, ncol, record = matrix.nrow, matrix.ncol, np.dtype([("row", "<i8"), ("col", "<i8"), ("val", value)])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        where.create_dir(folder, recursive=True)
+        task, records = TaskContext.get(), []
+        name = f"{folder}/part-{task.partitionId():05d}"
+        for b in batches:
+            r = np.empty(b.num_rows, record)
+            for k, c in enumerate(("row", "col", "val")):
+                r[c] = b.column(k).to_numpy(zero_copy_only=False)
+            records.append(r)
+        n = sum(map(len, records))
+        with where.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
+            out.write(header_bytes(nrow, ncol, n))
+            for r in records:
+                out.write(r.tobytes())
+        where.move(f"{name}.{task.taskAttemptId()}.tmp", f"{name}.bin")
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    return matrix.df.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst) of files of unsigned 32-bit pairs; repeats and loops stay."""
 
@@ -60,9 +88,43 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, "src long, dst long")
 
 
-def write_edges(matrix: SparseMatrix, path: str) -> None:
-    """The matrix as a Parquet edge table, partitioned by value (the predicate), so that a pattern reads its predicates only."""
-    matrix.df.repartition("val").sortWithinPartitions("row", "col").write.mode("overwrite").partitionBy("val").parquet(path)
+def write_edge_list(edges: DataFrame, path: str) -> int:
+    """(src, dst) as files of unsigned 32-bit pairs, one of each partition, into a new folder; how many pairs.
+
+    Each task writes under a name of its own and renames it when done, so a task that runs twice leaves one file.
+    """
+    from pyarrow import fs
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        where.create_dir(folder, recursive=True)
+        task = TaskContext.get()
+        name, n = f"{folder}/part-{task.partitionId():05d}", 0
+        with where.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
+            for b in batches:
+                pairs = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
+                if len(pairs) and (pairs.min() < 0 or pairs.max() > 0xFFFFFFFF):
+                    raise ValueError("vertices have to be unsigned 32-bit numbers")
+                out.write(pairs.astype("<u4").tobytes())
+                n += len(pairs)
+        where.move(f"{name}.{task.taskAttemptId()}.tmp", f"{name}.bin")
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+#: Entries of a file of an edge table, about.
+FILE_ROWS = 4_000_000
+
+
+def write_edges(matrix: SparseMatrix, path: str, file_rows: int = FILE_ROWS) -> None:
+    """The matrix as a Parquet edge table, partitioned by value (the predicate), so that a pattern reads its predicates only.
+
+    Entries are dealt by ranges of (val, row), so that a predicate with a third of all edges is as many tasks and files as it needs.
+    """
+    df = matrix.df
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + df.count() // file_rows)
+    df.repartitionByRange(parts, "val", "row").sortWithinPartitions("val", "row", "col").write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy("val").parquet(path)
 
 
 def read_edges(spark: SparkSession, path: str, nrow: int, ncol: int) -> SparseMatrix:

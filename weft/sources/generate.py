@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.matrix import SparseMatrix
 from weft.operators.ranking import positions
 
 #: The Kronecker generator's quadrant probabilities, and its edges for each vertex.
 A, B, C, EDGE_FACTOR = 0.57, 0.19, 0.19, 16
 
 
+#: A prime below 2 ** 31: residues, their products and their squares are longs in any engine.
+PRIME = 2_147_483_647
+
+
+def _draw(seed: int, bit: int) -> Column:
+    """A number of 0 to PRIME - 1 by the edge's number and the bit: linear steps with squares between, mod PRIME."""
+    x = (F.col("id") % PRIME * 69_621 + bit * 40_692 + seed * 48_271 + 1) % PRIME
+    for k in (16_807, 39_373):
+        x = (x * x + k) % PRIME
+        x = (x * k + F.col("id") % PRIME) % PRIME
+    return x * x % PRIME
+
+
 def kronecker(spark: SparkSession, scale: int, edge_factor: int = EDGE_FACTOR, seed: int = 1, scramble: bool = True) -> DataFrame:
     """(src, dst) of a graph of 2 ** scale vertices: each bit of an edge falls in a quadrant of its own.
 
-    Draws are hashes of the edge's number and the bit, so a lost partition comes out the same again.
+    Draws are functions of the edge's number and the bit, so a lost partition comes out the same again.
     """
     df = spark.range(edge_factor << scale)
     src = dst = F.lit(0).cast("long")
+    edge = [int(x * PRIME) for x in (A, A + B, A + B + C)]
     for bit in range(scale):
-        draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(bit), "id"), F.lit(1 << 30)) / float(1 << 30)
-        down = draw >= A + B  # rows: the lower quadrants
-        right = ((draw >= A) & (draw < A + B)) | (draw >= A + B + C)
-        src, dst = src * 2 + down.cast("long"), dst * 2 + right.cast("long")
-    df = df.select("id", src.alias("src"), dst.alias("dst"))
+        df = df.withColumn("draw", _draw(seed, bit))
+        draw = F.col("draw")
+        down = draw >= edge[1]  # rows: the lower quadrants
+        right = ((draw >= edge[0]) & (draw < edge[1])) | (draw >= edge[2])
+        df = df.select("id", (src * 2 + down.cast("long")).alias("src"), (dst * 2 + right.cast("long")).alias("dst"))
+        src, dst = F.col("src"), F.col("dst")
+    if not scale:
+        df = df.select("id", src.alias("src"), dst.alias("dst"))
     if scramble:
         df = df.select("id", *[_scrambled(c, scale, seed).alias(c) for c in ("src", "dst")])
     return df.select("src", "dst")
@@ -43,14 +61,28 @@ def permute_edges(edges: DataFrame, seed: int = 1) -> DataFrame:
     return edges.orderBy(F.xxhash64(F.lit(seed), "src", "dst"), "src", "dst")
 
 
+def vertex_names(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
+    """(id, new): a random permutation of 0, 1, ..., n - 1."""
+    return positions(spark.range(n).withColumn("h", F.xxhash64(F.lit(seed), "id")), ["h", "id"], "new").select("id", "new")
+
+
 def rename_vertices(edges: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """Every vertex under a random new number of 0, 1, ..., n - 1."""
-    spark = edges.sparkSession
-    names = positions(spark.range(n).withColumn("h", F.xxhash64(F.lit(seed), "id")), ["h", "id"], "new")
+    names = vertex_names(edges.sparkSession, n, seed)
     out = edges.join(names.select(F.col("id").alias("src"), F.col("new").alias("s")), "src").join(names.select(F.col("id").alias("dst"), F.col("new").alias("d")), "dst")
     return out.select(F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
+def relabelled(matrix: SparseMatrix, seed: int = 1) -> tuple[SparseMatrix, DataFrame]:
+    """A square matrix under random new numbers of its vertices, and the names (id, new)."""
+    if matrix.nrow != matrix.ncol:
+        raise ValueError("only a square matrix has vertices to rename")
+    names = vertex_names(matrix.df.sparkSession, matrix.nrow, seed)
+    row, col = (names.select(F.col("id").alias(c), F.col("new").alias(f"new_{c}")) for c in ("row", "col"))
+    df = matrix.df.join(row, "row").join(col, "col")
+    return SparseMatrix(df.select(F.col("new_row").alias("row"), F.col("new_col").alias("col"), "val"), matrix.nrow, matrix.ncol), names
+
+
 def drop_deleted(edges: DataFrame) -> DataFrame:
     """Without the edges that are marked by a negative end."""
     return edges.where((F.col("src") >= 0) & (F.col("dst") >= 0))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.operators.matrix import SparseMatrix
+from weft.operators.ranking import shared_dir
 from weft.operators.vector import DenseVector, SparseVector
 
 #: Vertex numbers are base + key.
@@ -22,7 +25,7 @@ UNION ALL SELECT DISTINCT 50000000 + l_orderkey, 30000000 + l_suppkey, 14 FROM l
 UNION ALL SELECT 10000000 + n_nationkey, n_regionkey, 17 FROM nation
 UNION ALL SELECT 30000000 + s_suppkey, 60000001, 17 FROM supplier
 UNION ALL SELECT 50000000 + o_orderkey, CASE o_orderstatus WHEN 'F' THEN 60000002 WHEN 'O' THEN 60000003 ELSE 60000004 END, 17 FROM orders
-UNION ALL SELECT 20000000 + c_custkey, 60000009 + (SELECT count(*) FROM (SELECT DISTINCT c_mktsegment AS s FROM customer) AS x WHERE s <= c.c_mktsegment), 17 FROM customer AS c
+UNION ALL SELECT 20000000 + c_custkey, 60000009 + r, 17 FROM customer JOIN (SELECT s, row_number() OVER (ORDER BY s) AS r FROM (SELECT DISTINCT c_mktsegment AS s FROM customer) AS x) AS y ON s = c_mktsegment
 """
 
 
@@ -58,6 +61,25 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_tables: dict[tuple[str, str], str] = {}
+
+
+def graph_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge table on disk, partitioned by predicate, so that a pattern reads its predicates only.
+
+    It is loaded once for each application and folder, as a graph is that many patterns are asked of; tables that
+    change under an application need another folder.
+    """
+    from .binary import read_edges, write_edges
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        path = f"{shared_dir(spark)}/weft-io/graph-{uuid.uuid4().hex}"
+        write_edges(SparseMatrix(graph(spark, sf_dir), 1 << 26, 1 << 26), path)
+        _tables[key] = path
+    return read_edges(spark, _tables[key], 1 << 26, 1 << 26).df
+
+
 def _n(spark: SparkSession, sf_dir: str, name: str, key: str) -> int:
     return (table(spark, sf_dir, name).agg(F.max(key)).first()[0] or -1) + 1
 
