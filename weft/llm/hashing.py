@@ -20,7 +20,7 @@ _MUL, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 #: Bytes of a word that are hashed eight at a time; longer words have a digest.
 LANED = 64
 #: Masks of the first 0 to 8 bytes of eight.
-_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _powers: dict[str, np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
@@ -81,7 +81,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     for _ in range(LANED // 8):
         if not len(todo):
             return out
-        lane = eight[at] & _HEAD[np.minimum(left, 8)]
+        lane = eight[at] & HEAD[np.minimum(left, 8)]
         out[todo] = mix(out[todo] * U64(5) ^ lane)
         more = left > 8
         todo, left, at = todo[more], left[more] - 8, at[more] + 8

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import batches_of, release
+from .hashing import HEAD, batches_of, mix, release
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 64, 2048
@@ -29,6 +29,12 @@ SLICE = 1 << 18
 #: In texts of these characters alone the tokenizer's words are runs of letters, runs of signs and single digits, each by itself.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-&(-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _RUNS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: By byte of lower-case plain text in UTF-8: white space, letters (all bytes of those beyond ASCII), digits, signs.
+_DIGIT = 2
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[*range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = _DIGIT
 _LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 
 
@@ -54,6 +60,9 @@ class Whole:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def all_ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.ids(t) for t in texts]
+
     def shrink(self) -> None:
         """Nothing is kept."""
 
@@ -75,6 +84,8 @@ class Words:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
+        #: Words of up to 16 bytes by hash, with their bytes: hash, number of the word, size, first and second eight bytes.
+        self.known = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         self.flat, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def shrink(self) -> None:
@@ -84,6 +95,8 @@ class Words:
             self.start, self.size = self.start[:KEPT_WORDS].copy(), self.size[:KEPT_WORDS].copy()
             self.used = int(self.start[-1] + self.size[-1])
             self.flat = self.flat[: self.used].copy()
+            kept = self.known[1] < KEPT_WORDS
+            self.known = [x[kept] for x in self.known]
 
     def learn(self, words: list[str]) -> None:
         plain = [w for w in words if _LETTERS.fullmatch(w)]
@@ -111,6 +124,75 @@ class Words:
         self.used = n
         self.index.update(zip(some, range(first, first + len(some)), strict=True))
 
+    def all_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Plain ones are taken many at a time."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        plain, held = [], 0
+        for k, t in enumerate(texts):
+            if len(t) > SLICE or "<|" in t or not _PLAIN.fullmatch(t):
+                out[k] = self.ids(t)
+                continue
+            plain.append(k)
+            held += len(t)
+            if held > SLICE or len(plain) == len(texts):
+                self._plain([texts[k] for k in plain], plain, out)
+                plain, held = [], 0
+        if plain:
+            self._plain([texts[k] for k in plain], plain, out)
+        return out
+
+    def _plain(self, texts: list[str], places: list[int], out: list[np.ndarray]) -> None:
+        raw = [t.lower().encode() for t in texts]
+        data = np.frombuffer(b" ".join(raw) + b" " * 16, np.uint8)
+        kind = _KIND[data]
+        change = kind[1:] != kind[:-1]
+        single = kind == _DIGIT
+        start = np.flatnonzero((kind != 0) & (np.concatenate([[True], change]) | single))
+        end = np.flatnonzero((kind != 0) & (np.concatenate([change, [True]]) | single)) + 1
+        if len(self.index) > CACHE_WORDS:
+            self.reset()
+        word = self._numbers(data, start, end)
+        size = self.size[word]
+        heads = np.cumsum(size) - size
+        ids = self.flat[np.repeat(self.start[word] - heads, size) + np.arange(size.sum())]
+        bound = np.cumsum([0, *[len(r) + 1 for r in raw]])
+        edge = np.append(heads, len(ids))[np.searchsorted(start, bound)].tolist()
+        for k, a, b in zip(places, edge[:-1], edge[1:], strict=True):
+            out[k] = ids[a:b]
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each run's word. Runs are looked up by hash and compared by their bytes; those of over 16 bytes by themselves."""
+        size = end - start
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        one, two = eight[start] & HEAD[np.minimum(size, 8)], eight[start + 8] & HEAD[np.clip(size - 8, 0, 8)]
+        short = size <= 16
+        h = mix(mix(one ^ size.astype(np.uint64)) * np.uint64(5) ^ two)
+        out = np.full(len(start), -1)
+
+        def found(some: np.ndarray) -> None:
+            if len(self.known[0]) and len(some):
+                hashes, number, n, first, second = self.known
+                at = np.minimum(np.searchsorted(hashes, h[some]), len(hashes) - 1)
+                same = (hashes[at] == h[some]) & (n[at] == size[some]) & (first[at] == one[some]) & (second[at] == two[some])
+                out[some[same]] = number[at[same]]
+
+        found(np.flatnonzero(short))
+        missing = np.flatnonzero(short & (out < 0))
+        if len(missing):
+            new = missing[np.unique(h[missing], return_index=True)[1]]
+            words = [data[a:b].tobytes().decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            self.learn([w for w in words if w not in self.index])
+            both = [np.concatenate([x, y]) for x, y in zip(self.known, (h[new], np.array([self.index[w] for w in words]), size[new], one[new], two[new]), strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            self.known = [x[order] for x in both]
+            found(missing)
+        for k in np.flatnonzero(out < 0).tolist():  # long runs, and hashes that two words share
+            w = data[start[k] : end[k]].tobytes().decode()
+            if w not in self.index:
+                self.learn([w])
+            out[k] = self.index[w]
+        return out
+
     def ids(self, text: str) -> np.ndarray:
         out = []
         for piece in _slices(text):
@@ -158,11 +240,11 @@ def encoder_of(path: str) -> Words | Whole:
 _workers: dict[str, Words | Whole] = {}
 
 
-def word_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids, with a cache of words that the worker keeps."""
+def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """Texts to ids, with a cache of words that the worker keeps."""
     if path not in _workers:
         _workers[path] = encoder_of(path)
-    return _workers[path].ids
+    return _workers[path].all_ids
 
 
 def shrink_cache(path: str) -> None:
@@ -307,10 +389,8 @@ def pack(
         kind, waiting, tokens = pa.int64(), [], 0
         for b in batches_of(batches, 1):
             kind = b.schema.field(0).type
-            keys, texts, prompts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for key, text, prompt in zip(keys, texts, prompts, strict=True):
-                lead = encode(prompt) if prompt else np.zeros(0, np.uint32)
-                body = encode(text) if text else lead[:0]
+            keys, bodies, leads = b.column(0).to_pylist(), *(encode([t or "" for t in b.column(k).to_pylist()]) for k in (1, 2))
+            for key, body, lead in zip(keys, bodies, leads, strict=True):
                 ids = np.concatenate([lead, body, np.array([end_id], np.uint32)]).astype("<u4")
                 held[n] = (key, ids, [len(ids)])
                 waiting.append((n, len(ids), len(lead)))
