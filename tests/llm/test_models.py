@@ -308,6 +308,22 @@ def test_the_whole_query_encodes_every_document(spark):
     assert max(loss.values()) == registry.MAX_LOSS  # the limit binds
 
 
+def test_many_texts_at_once_encode_as_alone(monkeypatch):
+    rnd = random.Random(20)
+    texts = ["".join(rnd.choice("abcDéÿß 019'!-_\n\t()<>|") for _ in range(rnd.randint(0, 80))) for _ in range(400)] + ["", " ", "x" * 17, "abcdefgh" * 2, "abcdefgh" * 3, "12345", "it's", "A" * 300, "漢字 x", "<|endoftext|>"]
+    words = packing.Words(tokenizer_path())
+    want = [words.encoder.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in words.all_ids(texts)] == want
+    words.shrink()
+    monkeypatch.setattr(packing, "mix", lambda h: h % np.uint64(7))  # all hashes collide
+    collided = packing.Words(tokenizer_path())
+    assert [x.tolist() for x in collided.all_ids(texts)] == want
+    monkeypatch.setattr(packing, "KEPT_WORDS", 20)
+    collided.shrink()
+    assert len(collided.index) == 20 and [x.tolist() for x in collided.all_ids(texts)] == want
+
+
 @pytest.mark.parametrize("limits", [(2048, 64, 2048), (64, 3, 40), (16, 1, 16), (8, 2, 1)])
 def test_packer_keeps_limits_and_every_token(limits):
     rnd = random.Random(11)
@@ -406,6 +422,24 @@ def test_pipeline_stages_do_what_their_operators_say(spark, messy, tables, sourc
         assert pipeline.run(spark, sf).where("start = 0").count() == seen.count() > 0
 
 
+def test_what_operators_write_is_deleted(spark, tables):
+    from pathlib import Path
+
+    from weft.llm import common
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "weft"
+    common.forget(spark)
+    docs = spark.createDataFrame([(i, f"word{i % 7} a b c d e f g") for i in range(20)], "doc_id long, text string")
+    docs.write.parquet(f"{tables}/documents.parquet")
+    pipeline.run(spark, tables).count()
+    assert common.written() == 1 and len(list(folder.iterdir())) == 1  # the last stage's input
+    first = common.written()
+    pipeline.exact(spark, docs, "").count()
+    assert common.written() > first and common.forget(spark, since=first) > 0 and common.written() == first
+    common.forget(spark)
+    assert not list(folder.iterdir())
+
+
 def test_the_root_module_has_the_same_stages():
     import corpus_pipeline
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.ranking import shared_dir
+
 #: The white space of all contracts here: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -17,40 +19,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors share.
-
-    Where it is unset a temporary folder becomes it, but only where driver and executors are one process.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='weft-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 _written: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and survives lost executors."""
+    """Write df to the shared folder and read it again: cuts lineage, and survives lost executors.
+
+    What is written is deleted when the driver's program ends, or before by forget().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> int:
-    """Delete what stored() has written, once no result that reads it is needed any more; how many folders."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many folders stored() has written that aren't deleted yet."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Delete what stored() has written, once no result that reads it is needed any more; how many folders.
+
+    Those before ``since``, a number that written() gave, stay, and so do the last ``but``.
+    """
+    gone = _written[since : len(_written) - but]
+    for name in gone:
+        _written.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written:
+        with contextlib.suppress(Exception):  # Spark may have been stopped or lost before
+            forget(spark)
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:

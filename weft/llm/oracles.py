@@ -1,6 +1,15 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from .secrets import BASE, KINDS, MAX_OWNERS, MAX_REPOS, OPAQUE
+#: The contract's patterns, in full: kind -> (pattern, group, least length of that group), and the method's own opaque runs.
+BASE = {
+    "assign": (r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "access": ("(AKIA[A-Z0-9]+)", 1, 20),
+    "hex": ("([0-9a-f]+)", 1, 24),
+}
+OPAQUE = ("([A-Za-z0-9+/_-]{24,})", 1, 24)
+KINDS = ["assign", "access", "hex", "opaque"]
+#: A live-looking value has one owner and at most two repositories.
+MAX_OWNERS, MAX_REPOS = 1, 2
 
 OP1 = r"""
 WITH d AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import stored, table
+from .common import forget, stored, table, written
 from .decontaminate import without_leaks
 from .exact_dedup import exact_filter
 from .ngram_join import near_filter
@@ -59,8 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each one's result is written and read again as the next one's input.
+
+    What a stage wrote for itself, and its input, are deleted once its result is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(spark, since=before, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
