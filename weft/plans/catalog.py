@@ -76,6 +76,12 @@ def _literal(spark, d):
     return compile_program(pattern_program("l4_star"), t.graph_table(spark, d), reduce=True).bindings
 
 
+@_query("bgp_l1_count", f"SELECT count(*) AS n FROM ({pattern_sql(PATTERNS['l1_triangle'], 'g')}) x", "g")
+def _counted(spark, d):
+    n = compile_program(pattern_program("l1_triangle"), t.graph_table(spark, d)).count()
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"))
+
+
 #: Two hops over a graph of nine edges, in full.
 _HOPS, _HAND = "?2 3 ?1 . 1 2 ?1", [(0, 0, 1), (0, 1, 2), (0, 4, 1), (1, 3, 2), (1, 4, 2), (2, 3, 3), (4, 2, 5), (4, 3, 5), (2, 1, 2)]
 
@@ -341,6 +347,11 @@ _query("vec_sample_candidates")(lambda s, d: t.supplier_nations(s, d).sample_can
 _query("vec_permutation_is_one", "SELECT val, count(*) AS n FROM sn GROUP BY 1", "sn")(lambda s, d: t.supplier_nations(s, d).random_permutation(5).df.groupBy("val").agg(F.count("*").alias("n")))
 
 
+_mat("vec_dense_set", lambda s, d: t.supplier_nations(s, d).set(4, 99), "SELECT idx, CASE WHEN idx = 4 THEN 99 ELSE val END AS val FROM sn", "sn")
+_query("vec_dense_get", "SELECT * FROM sn WHERE idx = 6", "sn")(lambda s, d: t.supplier_nations(s, d).get(6))
+_query("vec_candidates_in_range", "SELECT CAST(64 AS BIGINT) AS n, CAST(0 AS BIGINT) AS outside FROM n_s", "n_s")(lambda s, d: t.supplier_nations(s, d).sample_candidates(64, 5).df.agg(F.count("*").alias("n"), F.count_if((F.col("val") < 0) | (F.col("val") >= t.supplier_nations(s, d).length)).alias("outside")))
+
+
 # -- functions --------------------------------------------------------------------------------------
 @_query("functors", """SELECT "row", "col", 5 AS f_constant, val AS f_identity, 1.0 / val AS f_inverse, CAST(pow(val, 2) AS DOUBLE) AS f_power, greatest(val, 9) AS f_max, least(val, 9) AS f_min,
   CASE WHEN val <> 9 THEN 77 ELSE val END AS f_differ, val & 6 AS f_and, val | 6 AS f_or, xor(val, 6) AS f_bxor, (val > 5) <> ("row" > "col") AS f_xor, abs(val - 9) AS f_absdiff, val = 9 AS f_equal,
@@ -354,6 +365,13 @@ def _functors(spark, d):
     )
 
 
+@_query("functor_random_choice", 'SELECT "row", "col", true AS one_of_both FROM ss', "ss")
+def _choice(spark, d):
+    """Either operand, whichever: the value or its negative."""
+    df = t.shared_orders(spark, d).df.withColumn("picked", f.random_choice(3)(F.col("val"), -F.col("val")))
+    return df.select("row", "col", (F.abs("picked") == F.col("val")).alias("one_of_both"))
+
+
 # -- search -----------------------------------------------------------------------------------------
 def _both_ways(spark: SparkSession, d: str) -> SparseMatrix:
     """All edges of the graph, each in both directions; it is read again every round, so it is cut off from its plan once."""
