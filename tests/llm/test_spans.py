@@ -10,11 +10,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm.exchange import Deal, dumps
+from weft.llm.exchange import Deal, by_part, dumps, loads
 from weft.llm.hashing import U64, word_hashes
 from weft.llm.secrets import secret_spans
 from weft.llm.substring_dedup import Anchors, substring_dedup
-from weft.llm.suffix_dedup import FAMILIES, Chunk, Surroundings, previous_factors, suffix_dedup, suffix_order
+from weft.llm.suffix_dedup import Chunk, Surroundings, previous_factors, suffix_dedup, suffix_order
 from weft.llm.url_filter import canonical, host_of, path_of, url_filter
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -62,7 +62,7 @@ def test_substring_dedup_on_messy_rows(messy):
     assert substring_dedup(messy.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("options", [*DEALS, {"chunk_bytes": 4000, "hot": 0}])
+@pytest.mark.parametrize("options", [*DEALS, {"chunk_bytes": 4000, "hot": 0}, {"chunk_bytes": 700, "fan": 2, "batch": 3, "hot": 0}, {"chunk_bytes": 4000, "hot": 2}])
 def test_suffix_dedup_against_brute_force(spark, options):
     rows = _corpus(5)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
@@ -108,21 +108,26 @@ def test_previous_factors():
             assert previous_factors(np.array(order, np.int64), common, least).tolist() == [w if w >= least else 0 for w in want]
 
 
-def test_a_short_passage_in_very_many_texts_has_many_homes():
+def test_a_passage_in_very_many_texts_is_no_one_tasks(spark):
     rnd = random.Random(4)
     text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
-    passage = text(100)
-    table = pa.table({"id": list(range(3000)), "text": [text(180) + passage + text(180) for _ in range(3000)]})
-    chunk, deal = Chunk(table, 200, 64), Deal(0)
+    short, long = text(100), text(230)
+    texts = [text(180) + (short if k % 2 else long) + text(180) for k in range(3000)]
+    chunk, deal, around = Chunk(pa.table({"id": list(range(3000)), "text": texts}), 200, 64), Deal(6), Surroundings(64)
     cols = chunk.first()
-    hot = [a for a, n in zip(*np.unique(cols[0], return_counts=True), strict=True) if n > 1000]
-    assert hot  # one home for all, if an anchor were a home
-    around = Surroundings(64)
+    assert max(np.unique(cols[0], return_counts=True)[1]) > 1000  # one home for all, if an anchor were a home
+    share = np.bincount((cols[0] >> U64(61)).astype(int), minlength=8) / len(cols[0])
+    assert share.max() < 0.5  # anchors are dealt evenly but for the passages' own
     merged, inverse, first = around.merge(cols)
     flags = around.spread(around.top(merged), inverse, first)
-    _, home, _, size = chunk.wanted(deal, {0: dumps(*[np.packbits(f) for f in flags])})
-    most = np.unique(home, return_counts=True)[1].max()
-    assert most <= 64 and len(home) >= 3000 and np.median(size) <= 200 + -(-137 // FAMILIES)
+    told = {p: dumps(*[np.packbits(f[s]) for f in flags]) for p, s in by_part(cols[0], deal.first)}
+    asking = chunk.second(0, deal, told)
+    kind, size = asking["kind"].to_numpy(), np.array([len(loads(b)[0]) for b in asking["blob"].to_pylist()])
+    _, sent, _ = chunk.wanted(deal, told)
+    assert np.unique(chunk.a[sent], return_counts=True)[1].max() <= 64  # what any home gets
+    assert size[kind == 3].sum() > 50_000 and size[kind == 3].max() < 1.3 * np.median(size[kind == 3])  # even parts
+    got = {r.doc_id: r.n_removed for r in suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chunk_bytes=200_000, hot=64).collect()}
+    assert {n for k, n in got.items() if k % 2} == {0} and all(230 <= n < 250 for k, n in got.items() if k % 2 == 0)
 
 
 def test_blobs_stay_small_as_the_corpus_grows():

@@ -13,8 +13,8 @@ from .hashing import _BYTE, SLICE, U64, digests, mix, powers, release, slices, t
 LENGTH, ANCHOR = 200, 64
 #: Bytes whose suffixes are sorted at a time, unless one anchor alone has more.
 SORTED = 1 << 19
-#: An anchor with more kinds of surroundings than this has so many homes by what lies next to it.
-HOT, FAMILIES = 64, 8
+#: The strings of an anchor with more kinds of surroundings than this are told one by one, each dealt by its own digest.
+HOT = 1000
 
 
 def suffix_order(data: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +122,34 @@ class Surroundings(Round):
         return [up[0][inverse], up[1][inverse] & first, up[2][inverse] & first]
 
 
+class Strings(Round):
+    """Strings by their 128-bit digests, and whether the asker has them at several places; answered by whether they occur again."""
+
+    kind = 3
+
+    def dump(self, cols: list[np.ndarray], used: int) -> bytes:
+        return dumps(deltas(cols[0]), cols[1], np.packbits(cols[2]))
+
+    def load(self, blob: bytes, part: int, used: int) -> list[np.ndarray]:
+        x, y, more = loads(blob)
+        return [sums(x), y, np.unpackbits(more, count=len(x)).astype(bool)]
+
+    def merge(self, cols):
+        order = np.lexsort((cols[1], cols[0]))
+        new = heads(cols[0][order], cols[1][order])
+        head = np.flatnonzero(new)
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        more = np.logical_or.reduceat(cols[2][order], head) | (np.diff(np.append(head, len(order))) > 1)
+        return [cols[0][order][new], cols[1][order][new], more], inverse, np.zeros(0, bool)
+
+    def top(self, merged):
+        return [merged[2]]
+
+    def spread(self, up, inverse, first):
+        return [up[0][inverse]]
+
+
 class Chunk:
     """A chunk's texts and their anchors: of each string of ``length`` bytes, the 64-byte gram with the least hash.
 
@@ -166,54 +194,53 @@ class Chunk:
         head = np.flatnonzero(heads(pos))  # the strings of an anchor start in a row
         end = np.append(head[1:], len(pos))[: len(head)] - 1
         pos = pos[head]
-        return pos + base, gram[pos], start[head] + base, start[end] + self.length + base
+        # the least of many hashes is small, so it is scrambled again or the first parts would get all anchors
+        return pos + base, mix(gram[pos]), start[head] + base, start[end] + self.length + base
 
     def first(self) -> list[np.ndarray]:
         """The columns of Surroundings."""
         return [self.a[self.head], self.x[self.head], self.y[self.head], self.more]
 
-    def wanted(self, deal: Deal, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """By distinct (anchor, surroundings) whether they occur again; and of the bytes that are wanted, in the order of their homes: home, where from, how many.
-
-        All copies of a string have their bytes in one home: its anchor's, or, of an anchor with very many
-        surroundings, that of the anchor and what a run of offsets has in common. A string of which the
-        anchor lies at an offset from u to v also holds the u bytes before the anchor and the reach - v
-        after it, so strings that differ there have different homes.
-        """
-        a = self.a[self.head]
-        again, send, hot = bits_of(answers, a, deal.first, 3)
-        plain, many = self.head[send & ~hot], self.head[hot]
-        found = [(self.a[plain], self.lo[plain], self.hi[plain])]
-        w = -(-(self.reach + 1) // FAMILIES)
-        for u in range(0, self.reach + 1, w) if len(many) else ():
-            v, pos = min(self.reach, u + w - 1), self.pos[many]
-            most, least = np.minimum(v, pos - self.lo[many]), np.maximum(u, pos + self.length - self.hi[many])
-            at, pos = many[least <= most], pos[least <= most]
-            context = digests(self.data.tobytes(), pos - u, pos + self.length - v)[:, 0]
-            found.append((mix(self.a[at] ^ mix(context + U64(u))), pos - most[least <= most], pos - least[least <= most] + self.length))
-        home, lo, hi = (np.concatenate([f[k] for f in found]) for k in range(3))
-        order = np.argsort(home, kind="stable")
-        return again, home[order], lo[order], hi[order] - lo[order]
-
-    def second(self, deal: Deal, answers: dict[int, bytes]) -> dict[int, bytes]:
-        _, home, lo, size = self.wanted(deal, answers)
-        out = {}
-        for p, s in by_part(home, deal.bits):
-            inner = np.arange(size[s].sum()) - np.repeat(np.cumsum(size[s]) - size[s], size[s])
-            out[p] = dumps(home[s], lo[s], size[s], self.data[np.repeat(lo[s], size[s]) + inner])
-        return out
+    def wanted(self, deal: Deal, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By distinct (anchor, surroundings) whether they occur again; of which the bytes are wanted, and of which each string by itself."""
+        again, send, hot = bits_of(answers, self.a[self.head], deal.first, 3)
+        return again, self.head[send & ~hot], self.head[hot]
+
+    def strings(self, of: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The columns of Strings for the strings of some surroundings, where all of these start, and which column entry each is."""
+        n = self.hi[of] - self.lo[of] - self.length + 1
+        start = np.unique(np.repeat(self.lo[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        if not len(start):
+            return [np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)], start, start
+        same = digests(self.data.tobytes(), start, start + self.length)
+        order = np.lexsort((same[:, 1], same[:, 0]))
+        new = heads(same[order, 0], same[order, 1])
+        entry = np.empty(len(start), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        return [same[order, 0][new], same[order, 1][new], np.bincount(entry) > 1], start, entry
+
+    def second(self, chunk: int, deal: Deal, answers: dict[int, bytes]) -> pa.Table:
+        _, sent, hot = self.wanted(deal, answers)
+        parts = {}
+        for p, s in by_part(self.a[sent], deal.bits):
+            lo, size = self.lo[sent[s]], (self.hi - self.lo)[sent[s]]
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            parts[p] = dumps(self.a[sent[s]], lo, size, self.data[np.repeat(lo, size) + inner])
+        return pa.concat_tables([asks(chunk, 2, parts), Strings().ask(chunk, self.strings(hot)[0], deal)])
 
     def removed(self, deal: Deal, answers: pa.Table) -> np.ndarray:
         """Which bytes go."""
-        again, home, lo, _ = self.wanted(deal, asked(answers, 1))
+        again, sent, hot = self.wanted(deal, asked(answers, 1))
         got, starts = asked(answers, 2), []
-        for p, s in by_part(home, deal.bits):
+        for p, s in by_part(self.a[sent], deal.bits):
             if p in got:
                 n = s.stop - s.start
                 mask = np.unpackbits(loads(got[p])[0], count=n * (self.reach + 1)).reshape(n, -1)
                 which, offset = np.nonzero(mask)
-                starts.append(lo[s][which] + offset)
-        out = covered(np.concatenate(starts) if starts else np.zeros(0, np.int64), self.length, len(self.data))
+                starts.append(self.lo[sent[s]][which] + offset)
+        cols, start, entry = self.strings(hot)
+        starts.append(start[bits_of(asked(answers, 3), cols[0], deal.first)[0][entry]])
+        out = covered(np.concatenate(starts), self.length, len(self.data))
         full, n = again[self.of], len(self.data) + 1
         return out | (np.cumsum((np.bincount(self.lo[full], minlength=n) - np.bincount(self.hi[full], minlength=n))[:-1]) > 0)
 
@@ -258,45 +285,43 @@ def _candidates(data: np.ndarray, begin: np.ndarray, size: np.ndarray, group: np
     return np.where(none, 0, first), np.where(none, 0, last + length)
 
 
-def _second_answers(length: int, anchor: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        blobs = [loads(b) for b in table["blob"].to_pylist()]
-        src = np.repeat(table["chunk"].to_numpy(), [len(b[0]) for b in blobs])
-        bound = np.cumsum([0, *[len(b[0]) for b in blobs]]).tolist()
-        home, lo, size = (np.concatenate([b[k] for b in blobs]) for k in range(3))
-        data = np.concatenate([b[3] for b in blobs])
-        del blobs
-        begin = np.cumsum(size) - size
-        mask = np.zeros((len(home), length - anchor + 1), np.uint8)
-        by_home = np.argsort(home, kind="stable")
-        group = np.cumsum(heads(home[by_home])) - 1
-        some, own = by_home, group
-        alone = heads(own) & np.append(heads(own)[1:], True)  # what has a home of its own has no match
-        some, own = some[~alone], own[~alone]
-        start, end = _candidates(data, begin[some], size[some], own, length)
-        has = end > 0
-        some, own, start, end = some[has], own[has], start[has], end[has]
-        edges = np.append(np.flatnonzero(heads(own)), len(own))
-        total = np.concatenate([[0], np.cumsum(end - start)])[edges]
-        i = 0
-        while i < len(edges) - 1:  # whole homes, about SORTED bytes at a time
-            j = max(i + 1, int(np.searchsorted(total, total[i] + SORTED, side="right")) - 1)
-            s = slice(edges[i], edges[j])
-            n = (end - start)[s]
-            row = np.repeat(np.arange(len(n), dtype=np.int32), n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            left, inner = (n[row] - inner).astype(np.int32), (inner + start[s][row]).astype(np.int32)
-            order, new = suffix_order(data[begin[some[s]][row] + inner], left, length)
-            hit = order[other_matches(order, new, (src[some[s]][row] << 40) + lo[some[s]][row] + inner, length)]
-            mask[some[s][row[hit]], inner[hit]] = 1
-            i = j
-        chunks, found = table["chunk"].to_pylist(), []
-        for c, p, q in zip(chunks, bound[:-1], bound[1:], strict=True):
-            if mask[p:q].any():
-                found.append((c, dumps(np.packbits(mask[p:q].ravel()))))
-        return _told(key[0].as_py(), 2, found)
-
-    return run
+def _matched(part: int, table: pa.Table, length: int, anchor: int) -> pa.Table:
+    """The strings of surroundings that occur again, by their suffixes' longest previous and next factors."""
+    blobs = [loads(b) for b in table["blob"].to_pylist()]
+    src = np.repeat(table["chunk"].to_numpy(), [len(b[0]) for b in blobs])
+    bound = np.cumsum([0, *[len(b[0]) for b in blobs]]).tolist()
+    home, lo, size = (np.concatenate([b[k] for b in blobs]) for k in range(3))
+    data = np.concatenate([b[3] for b in blobs])
+    del blobs
+    begin = np.cumsum(size) - size
+    mask = np.zeros((len(home), length - anchor + 1), np.uint8)
+    by_home = np.argsort(home, kind="stable")
+    group = np.cumsum(heads(home[by_home])) - 1
+    some, own = by_home, group
+    alone = heads(own) & np.append(heads(own)[1:], True)  # what has a home of its own has no match
+    some, own = some[~alone], own[~alone]
+    start, end = _candidates(data, begin[some], size[some], own, length)
+    has = end > 0
+    some, own, start, end = some[has], own[has], start[has], end[has]
+    edges = np.append(np.flatnonzero(heads(own)), len(own))
+    total = np.concatenate([[0], np.cumsum(end - start)])[edges]
+    i = 0
+    while i < len(edges) - 1:  # whole homes, about SORTED bytes at a time
+        j = max(i + 1, int(np.searchsorted(total, total[i] + SORTED, side="right")) - 1)
+        s = slice(edges[i], edges[j])
+        n = (end - start)[s]
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        left, inner = (n[row] - inner).astype(np.int32), (inner + start[s][row]).astype(np.int32)
+        order, new = suffix_order(data[begin[some[s]][row] + inner], left, length)
+        hit = order[other_matches(order, new, (src[some[s]][row] << 40) + lo[some[s]][row] + inner, length)]
+        mask[some[s][row[hit]], inner[hit]] = 1
+        i = j
+    chunks, found = table["chunk"].to_pylist(), []
+    for c, p, q in zip(chunks, bound[:-1], bound[1:], strict=True):
+        if mask[p:q].any():
+            found.append((c, dumps(np.packbits(mask[p:q].ravel()))))
+    return _told(part, 2, found)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, fan: int = FAN, batch: int = BATCH, hot: int = HOT) -> DataFrame:
@@ -312,9 +337,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digest of all bytes a string around it can have. Where both occur again, all those strings do. Where
     only the anchor does, one copy of each kind of surroundings is sent, and the part that gathers them
     sorts their suffixes and computes longest previous factors, from previous and next smaller places in
-    suffix order, and longest next factors: where either is ``length``, the string occurs elsewhere. An
-    anchor with more than ``hot`` surroundings has several homes (see Chunk.wanted), so that a short
-    passage in very many texts is no one task's. The text is shuffled once; its three uses share that.
+    suffix order, and longest next factors: where either is ``length``, the string occurs elsewhere. The
+    strings of an anchor with more than ``hot`` surroundings, that is of a passage in very many texts, are
+    told one by one by their digests, each dealt by its own, so that they are no one task's. The text is
+    shuffled once; its three uses share that.
     """
     rows, deal = dealt(docs, id_col, text_col, chunk_bytes, fan, batch)
     chunks = rows.groupBy("chunk")
@@ -327,7 +353,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def second_asks(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return asks(0, 2, {})
-        return asks(key[0].as_py(), 2, Chunk(table, length, anchor).second(deal, asked(answers, 1)))
+        return Chunk(table, length, anchor).second(key[0].as_py(), deal, asked(answers, 1))
 
     def result(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -345,7 +371,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         release()
         return found
 
+    def second_answers(key: tuple, table: pa.Table) -> pa.Table:
+        """Both kinds of a part: homes of surroundings and, if they are asked in one step, strings."""
+        kind = table["kind"].to_numpy()
+        some, told = [table.filter(pa.array(kind == k)) for k in (2, 3)], []
+        if some[0].num_rows:
+            told.append(_matched(key[0].as_py(), some[0], length, anchor))
+        if some[1].num_rows:
+            told.append(strings._answer(deal.bits)(some[1]))
+        release()
+        return pa.concat_tables(told)
+
+    strings = Strings()
     one = around.answered(chunks.applyInArrow(first_asks, ASKS), deal)
-    two = chunks.cogroup(one.groupBy("chunk")).applyInArrow(second_asks, ASKS).groupBy("part").applyInArrow(_second_answers(length, anchor), ASKS)
+    asking = chunks.cogroup(one.groupBy("chunk")).applyInArrow(second_asks, ASKS)
+    if deal.bits <= deal.first:
+        two = asking.groupBy("part").applyInArrow(second_answers, ASKS)
+    else:
+        two = asking.where("kind = 2").groupBy("part").applyInArrow(second_answers, ASKS).unionByName(strings.answered(asking.where("kind = 3"), deal))
     out = chunks.cogroup(one.unionByName(two).groupBy("chunk")).applyInArrow(result, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
