@@ -4,7 +4,7 @@
 BASE = {
     "assign": (r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": ("(AKIA[A-Z0-9]+)", 1, 20),
-    "hex": ("([0-9a-f]+)", 1, 24),
+    "hex": ("([0-9a-f]{24,})", 1, 24),  # the runs of [0-9a-f]+ that have 24 or more characters; to list all runs first takes minutes
 }
 OPAQUE = ("([A-Za-z0-9+/_-]{24,})", 1, 24)
 KINDS = ["assign", "access", "hex", "opaque"]
