@@ -25,10 +25,11 @@ def bottom_up_step(a: SparseMatrix, frontier: DataFrame, visited: DataFrame) ->
 def bfs(a: SparseMatrix, source: int, bottom_up: bool = False, max_depth: int | None = None) -> DataFrame:
     """(idx, parent, level) of every vertex that the source reaches; the source is its own parent at level 0.
 
-    The frontier is checkpointed each round, so that the plan doesn't grow and a lost executor costs one
-    round; the loop ends with an empty frontier.
+    The edges are checkpointed once, as every round reads them, and the frontier each round, so that the plan
+    doesn't grow and a lost executor costs one round; the loop ends with an empty frontier.
     """
     spark = a.df.sparkSession
+    a = SparseMatrix(checkpointed(a.df.select("row", "col").withColumn("val", F.lit(1))), a.nrow, a.ncol)
     frontier = spark.range(source, source + 1).select(F.col("id").alias("idx"), F.col("id").alias("parent"), F.lit(0).cast("long").alias("level"))
     visited = frontier = checkpointed(frontier)
     depth = 0

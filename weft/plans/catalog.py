@@ -12,10 +12,10 @@ from weft.functions import functors as f
 from weft.functions.semirings import LONG_MAX
 from weft.operators import bfs as search
 from weft.operators.matrix import SparseMatrix, dense_reduce, merge_all
-from weft.operators.ranking import checkpointed, shared_dir
+from weft.operators.ranking import shared_dir
 from weft.operators.vector import DenseVector, SparseVector
 from weft.sources import tables as t
-from weft.sources.generate import EDGE_FACTOR, PRIME, A, B, C, drop_deleted, kronecker, permute_edges, rename_vertices
+from weft.sources.generate import EDGE_FACTOR, LINES, PRIME, A, B, C, drop_deleted, kronecker, permute_edges, rename_vertices
 
 from .compile import compile_program, literal_step, result
 from .patterns import PATTERNS, parse_pattern, pattern_program, pattern_sql, program_of
@@ -374,10 +374,10 @@ def _choice(spark, d):
 
 # -- search -----------------------------------------------------------------------------------------
 def _both_ways(spark: SparkSession, d: str) -> SparseMatrix:
-    """All edges of the graph, each in both directions; it is read again every round, so it is cut off from its plan once."""
+    """All edges of the graph, each in both directions."""
     g = t.graph(spark, d).select("row", "col")
     both = g.unionByName(g.select(F.col("col").alias("row"), F.col("row").alias("col"))).distinct()
-    return SparseMatrix(checkpointed(both.withColumn("val", F.lit(1).cast("long"))), _N, _N)
+    return SparseMatrix(both.withColumn("val", F.lit(1).cast("long")), _N, _N)
 
 
 #: Breadth-first from region 0: what is reached stays in the recursion's table under its key, so the search ends by itself.
@@ -550,12 +550,9 @@ def _edge_list(spark, d):
 def _kronecker_sql(scale: int, seed: int = 1) -> str:
     """The generator's arithmetic, by edge and bit."""
     edge = [int(x * PRIME) for x in (A, A + B, A + B + C)]
-    steps = [f"(id % {PRIME} * 69621 + k * 40692 + {seed * 48271 + 1}) % {PRIME}"]
-    for m in (16807, 39373):
-        steps += [f"(x * x + {m}) % {PRIME}", f"(x * {m} + id % {PRIME}) % {PRIME}"]
-    rows = f"SELECT CAST(i AS BIGINT) AS id, CAST(j AS BIGINT) AS k, CAST(0 AS BIGINT) AS x FROM range({EDGE_FACTOR << scale}) a(i), range({scale}) b(j)"
-    for step in [*steps, f"x * x % {PRIME}"]:
-        rows = f"SELECT id, k, {step} AS x FROM ({rows})"
+    one, two, three = (f"((id % {PRIME} * {a} + (k * {b} + {seed * c + d}) % {PRIME}) % {PRIME})" for a, b, c, d in LINES)
+    rows = f"SELECT CAST(i AS BIGINT) AS id, CAST(j AS BIGINT) AS k FROM range({EDGE_FACTOR << scale}) a(i), range({scale}) b(j)"
+    rows = f"SELECT id, k, {one} * {two} % {PRIME} * {three} % {PRIME} AS x FROM ({rows})"
     bit = f"CAST(pow(2, {scale - 1} - k) AS BIGINT)"
     down, right = f"x >= {edge[1]}", f"(x >= {edge[0]} AND x < {edge[1]}) OR x >= {edge[2]}"
     rows = f"SELECT CAST(sum(CASE WHEN {down} THEN {bit} ELSE 0 END) AS BIGINT) AS src, CAST(sum(CASE WHEN {right} THEN {bit} ELSE 0 END) AS BIGINT) AS dst FROM ({rows}) GROUP BY id"

@@ -16,13 +16,15 @@ A, B, C, EDGE_FACTOR = 0.57, 0.19, 0.19, 16
 PRIME = 2_147_483_647
 
 
+#: Factors of the three linear functions of (edge number, bit, seed, 1) whose product mod PRIME is a draw.
+LINES = ((69_621, 40_692, 48_271, 1), (1_583_458_089, 630_360_016, 742_938_285, 16_807), (950_706_376, 1_226_874_159, 62_089_911, 39_373))
+
+
 def _draw(seed: int, bit: int) -> Column:
-    """A number of 0 to PRIME - 1 by the edge's number and the bit: linear steps with squares between, mod PRIME."""
-    x = (F.col("id") % PRIME * 69_621 + bit * 40_692 + seed * 48_271 + 1) % PRIME
-    for k in (16_807, 39_373):
-        x = (x * x + k) % PRIME
-        x = (x * k + F.col("id") % PRIME) % PRIME
-    return x * x % PRIME
+    """A number of 0 to PRIME - 1 by the edge's number and the bit, of which no part is an expression that holds another twice."""
+    number = F.col("id") % PRIME
+    one, two, three = ((number * a + (bit * b + seed * c + d) % PRIME) % PRIME for a, b, c, d in LINES)
+    return one * two % PRIME * three % PRIME
 
 
 def kronecker(spark: SparkSession, scale: int, edge_factor: int = EDGE_FACTOR, seed: int = 1, scramble: bool = True) -> DataFrame:
@@ -34,8 +36,7 @@ def kronecker(spark: SparkSession, scale: int, edge_factor: int = EDGE_FACTOR, s
     src = dst = F.lit(0).cast("long")
     edge = [int(x * PRIME) for x in (A, A + B, A + B + C)]
     for bit in range(scale):
-        df = df.withColumn("draw", _draw(seed, bit))
-        draw = F.col("draw")
+        df, draw = df.withColumn("draw", _draw(seed, bit)), F.col("draw")
         down = draw >= edge[1]  # rows: the lower quadrants
         right = ((draw >= edge[0]) & (draw < edge[1])) | (draw >= edge[2])
         df = df.select("id", (src * 2 + down.cast("long")).alias("src"), (dst * 2 + right.cast("long")).alias("dst"))
