@@ -18,7 +18,7 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize(("name", "folder"), [*((n, None) for n in NAMES), *((n, LARGER) for n in NAMES if n.startswith("bgp_"))])
+@pytest.mark.parametrize(("name", "folder"), [*((n, None) for n in NAMES), *((n, LARGER) for n in NAMES if n.startswith(("bgp_", "mat_reduce", "mcl")))])
 def test_query_equals_its_sql(spark, sf, name, folder):
     sf = folder or sf
     df = catalog.queries()[name](spark, sf)

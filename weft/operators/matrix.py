@@ -314,8 +314,8 @@ class SparseMatrix:
         return self._new(self.df.join(stats.select("col", cut.alias("cut")), "col").where(v >= F.col("cut")).select("row", "col", "val"))
 
     def mcl_step(self, other: SparseMatrix, hard: float, select: int, recover: int, recover_share: float) -> SparseMatrix:
-        """The product, pruned by column: phases only bound memory elsewhere, here the aggregation spills."""
-        return self.product(other).prune_recover_select(hard, select, recover, recover_share)
+        """The product, pruned by column: phases only bound memory elsewhere, here the aggregation spills. It is made once, as pruning reads it several times."""
+        return self._new(checkpointed(self.product(other).df), ncol=other.ncol).prune_recover_select(hard, select, recover, recover_share)
 
     # -- indexing ---------------------------------------------------------------------------------
     def __getitem__(self, chosen: tuple[DenseVector, DenseVector]) -> SparseMatrix:

@@ -226,7 +226,7 @@ for _name, _change in (("mat_equals", lambda v: v), ("mat_equals_not", lambda v:
     _query(_name, _SAME.format("val" if _name == "mat_equals" else "CASE WHEN val = 1 THEN 2 ELSE val END"), "ss")(lambda s, d, f=_change: s.range(1).select(F.lit(t.shared_orders(s, d).equals(t.shared_orders(s, d).transpose().apply(f))).alias("same")))
 for _name, _change, _other in (("vec_equals", lambda v: v, "val"), ("vec_equals_not", lambda v: F.when(v == 3, 4).otherwise(v), "CASE WHEN val = 3 THEN 4 ELSE val END")):
     _query(_name, f"SELECT count(*) = 0 AS same FROM sn WHERE val <> {_other}", "sn")(lambda s, d, f=_change: s.range(1).select(F.lit(t.supplier_nations(s, d).equals(t.supplier_nations(s, d).apply(f))).alias("same")))
-_mat("mat_reduce_col_prod", lambda s, d: t.suppliers_parts(s, d).reduce("col", "prod"), 'SELECT p_partkey AS idx, coalesce(v, 1.0) AS val FROM part LEFT JOIN (SELECT "col", product(val) AS v FROM sp GROUP BY 1) ON "col" = p_partkey', "sp")
+_mat("mat_reduce_col_prod", lambda s, d: t.suppliers_parts(s, d).reduce("col", "prod", lambda v: v % 2 + 1), 'SELECT p_partkey AS idx, coalesce(v, 1.0) AS val FROM part LEFT JOIN (SELECT "col", product(val % 2 + 1) AS v FROM sp GROUP BY 1) ON "col" = p_partkey', "sp")
 _mat("mat_reduce_sparse", lambda s, d: t.suppliers_parts(s, d).prune(lambda v: v < 7).reduce_sparse("col", "sum"), 'SELECT "col" AS idx, CAST(sum(val) AS BIGINT) AS val FROM sp WHERE NOT val < 7 GROUP BY 1', "sp")
 _query("mat_product_nnz_by_part", 'SELECT CAST(floor("col" * 4 / n) AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS nnz FROM ss, n_s GROUP BY 1', "ss n_s")(lambda s, d: t.orders_suppliers(s, d).transpose().product_nnz_by_part(t.orders_suppliers(s, d), 4, approximate=False))
 _mat("mat_product_nnz", lambda s, d: t.orders_suppliers(s, d).transpose().product_nnz(t.orders_suppliers(s, d)), 'SELECT i AS idx, coalesce(v, 0) AS val FROM (SELECT i FROM n_s, range(n) x(i)) LEFT JOIN (SELECT "col", count(*) AS v FROM ss GROUP BY 1) ON "col" = i', "ss n_s")
