@@ -5,6 +5,7 @@ import pytest
 
 from weft.operators.bfs import bfs, validate
 from weft.operators.matrix import SparseMatrix
+from weft.operators.ranking import checkpointed
 from weft.operators.vector import SparseVector
 from weft.sources import binary, generate, text
 
@@ -84,7 +85,7 @@ def test_kronecker_and_search(spark):
     edges = generate.kronecker(spark, 7, 4)
     assert edges.count() == 512 and edges.agg({"src": "max"}).first()[0] < 128
     both = edges.unionByName(edges.selectExpr("dst AS src", "src AS dst"))
-    a = SparseMatrix.from_edges(both, 128, remove_loops=True, count=False)
+    a = SparseMatrix(checkpointed(SparseMatrix.from_edges(both, 128, remove_loops=True, count=False).df), 128, 128)
     source = a.df.first()["row"]
     tree = bfs(a, source)
     assert set(validate(a, tree, source).values()) == {0}
