@@ -7,6 +7,7 @@ import pytest
 from weft.operators import tiles
 from weft.operators.matrix import SparseMatrix
 from weft.operators.ranking import shared_dir
+from weft.plans import catalog
 from weft.sources import tables
 
 LARGER = "/root/testdata/sf0.01"
@@ -88,3 +89,19 @@ def test_square_keeps_packed_tiles_only(spark):
     got = tables.shared_orders_tiled(spark, LARGER).square()
     assert on_disk(spark) - before < 4 * ss.nnz()  # bytes
     assert got.equals(ss.mxm(ss))
+
+
+def test_clustering_steps_by_tiles_equal_the_whole_product_cut(spark):
+    a = matrix(spark, random((70, 17), 5, 0.3)).gram(4)
+    whole = a.product(a)
+    for cut in ((50, 5, 0, 0.0), (2, 4, 6, 40.0), (0, 1, 3, 1e9), (-20, 0, 2, 1e9), (900, 3, 4, 5000.0)):
+        want = whole.prune_recover_select(*cut)
+        assert a.mcl_step(a, *cut, dense_from=0).equals(want) and sorted(map(tuple, want.df.collect())), cut
+
+
+def test_clustering_step_keeps_no_whole_product(spark):
+    ss = tables.shared_orders(spark, LARGER)
+    before = on_disk(spark)
+    query = catalog.queries()["mcl_step"](spark, LARGER)
+    assert on_disk(spark) - before < 12 * ss.nnz()  # bytes
+    assert query.count() == 500
