@@ -105,3 +105,10 @@ def test_clustering_step_keeps_no_whole_product(spark):
     query = catalog.queries()["mcl_step"](spark, LARGER)
     assert on_disk(spark) - before < 12 * ss.nnz()  # bytes
     assert query.count() == 500
+
+
+def test_self_products_without_entries_and_without_rows(spark):
+    for rows in ([], [(None, 1, 3), (None, 2, 4), (0, 1, 2)]):
+        a = SparseMatrix(spark.createDataFrame(rows, "row long, col long, val long"), 3, 3)
+        g = a.gram(2)
+        assert g.equals(a.transpose().mxm(a)) and g.square().equals(g.mxm(g)) and g.mcl_step(g, 1, 2, 0, 0.0).nnz() == len(rows) // 3
